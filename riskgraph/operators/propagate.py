@@ -153,6 +153,7 @@ class Propagation:
     state: DataFrame                # final state: cont_rut, score
     states: list[DataFrame]         # state after round 0..rounds (each a written table)
     graph: StepGraph
+    rounds_run: int = 0
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = DEFAULT_ROUNDS,
@@ -180,7 +181,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = DEFAULT_ROUNDS,
                 break
         else:
             state = nxt
-    return Propagation(state=state, states=states, graph=graph)
+    return Propagation(state=state, states=states, graph=graph, rounds_run=len(states) - 1)
 
 
 # -- outputs and counters (D7-D12) -----------------------------------------------

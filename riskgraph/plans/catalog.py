@@ -17,6 +17,7 @@ from ..operators import forces, propagate, seeds
 from ..sources import fixtures
 from ..sources.io import preview
 from . import oracle as O
+from .oracle import R6
 from .scenarios import Inputs, run_scenario
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,12 +149,12 @@ def q_force_representative(spark, d):
     return Inputs(spark, d).force_rep()
 
 
-@q("combine_forces", O.build("select emisor, receptor, round(Fi, 6) as Fi from f_comb", ["f_comb"]))
+@q("combine_forces", O.build(f"select emisor, receptor, {R6('Fi', 'Fi')} from f_comb", ["f_comb"]))
 def q_combine_forces(spark, d):
     return Inputs(spark, d).force_combined().withColumn("Fi", r6("Fi"))
 
 
-@q("combine_forces_all", O.build("select emisor, receptor, round(Fi, 6) as Fi from f_comb_all", ["f_comb_all"]))
+@q("combine_forces_all", O.build(f"select emisor, receptor, {R6('Fi', 'Fi')} from f_comb_all", ["f_comb_all"]))
 def q_combine_forces_all(spark, d):
     return Inputs(spark, d).force_combined(drop_zero=False).withColumn("Fi", r6("Fi"))
 
@@ -164,14 +165,14 @@ O.state_cte("vat", 15)
 O.state_cte("rep", 15)
 
 
-@q("receiver_f0", O.build("select receptor, round(f0, 6) as f0, round(sFi, 6) as sFi from combined_infl",
+@q("receiver_f0", O.build(f"select receptor, {R6('f0', 'f0')}, {R6('sFi', 'sFi')} from combined_infl",
                           ["combined_infl"]))
 def q_receiver_f0(spark, d):
     infl = propagate.receiver_influence(Inputs(spark, d).force_combined())
     return infl.select("receptor", r6("f0").alias("f0"), r6("sFi").alias("sFi"))
 
 
-@q("edge_influence", O.build("""select emisor, receptor, round(Fi, 6) as Fi, round(f0, 6) as f0, round(f, 6) as f
+@q("edge_influence", O.build(f"""select emisor, receptor, {R6('Fi', 'Fi')}, {R6('f0', 'f0')}, {R6('f', 'f')}
  from combined_prep""", ["combined_prep"]))
 def q_edge_influence(spark, d):
     p = propagate.prepare_edges(Inputs(spark, d).force_combined())
@@ -199,7 +200,7 @@ def _state_query(scenario: str, rounds: int):
 for _r in (1, 3, 5, 15):
     _name = f"combined_s{_r}"
     O.state_cte("combined", _r)
-    q(f"propagate_{_r}", O.build(f"select cont_rut, round(score, 6) as score from {_name}", [_name]))(
+    q(f"propagate_{_r}", O.build(f"select cont_rut, {R6('score', 'score')} from {_name}", [_name]))(
         _state_query("combined", _r))
 
 
@@ -260,3 +261,429 @@ def q_graph_counts(spark, d):
                     sd.select(F.count(F.lit(1))).scalar().alias("n_seeds"),
                     st.join(sd, "cont_rut", "left_semi").select(F.count(F.lit(1))).scalar().alias("n_seed_nodes"),
                     st.join(sd, "cont_rut", "left_anti").select(F.count(F.lit(1))).scalar().alias("n_new")))
+
+
+# ====================================================================== labels
+from ..functions.expr import describe  # noqa: E402
+from ..operators import community, enrich, export, graphops, profile, report  # noqa: E402
+from .scenarios import fixed_membership, labelled_nodes  # noqa: E402
+
+SINCE, AS_OF = fixtures.SINCE, fixtures.AS_OF
+ENR = O.enrich_cte("combined", 15)
+
+
+@q("label_paid", O.build("select cont_rut, total_pago_f29 from lbl_paid", ["lbl_paid"]))
+def q_label_paid(spark, d):
+    return enrich.label_paid(Inputs(spark, d).tax_forms(), SINCE)
+
+
+@q("label_net_vat", O.build("select cont_rut, IVA_neto from lbl_netvat", ["lbl_netvat"]))
+def q_label_net_vat(spark, d):
+    return enrich.label_net_vat(Inputs(spark, d).documents(), SINCE)
+
+
+@q("label_region", O.build("select cont_rut, unidad_regional from lbl_region", ["lbl_region"]))
+def q_label_region(spark, d):
+    inp = Inputs(spark, d)
+    return enrich.label_region(inp.businesses(), inp.units())
+
+
+@q("label_doc_count", O.build("select cont_rut, n_documentos from lbl_docs", ["lbl_docs"]))
+def q_label_doc_count(spark, d):
+    return enrich.label_doc_count(Inputs(spark, d).documents())
+
+
+@q("label_lifetime", O.build("select cont_rut, cast(lifetime as double) as lifetime from lbl_life", ["lbl_life"]))
+def q_label_lifetime(spark, d):
+    return enrich.label_lifetime(Inputs(spark, d).taxpayers(), AS_OF).select(
+        "cont_rut", F.col("lifetime").cast("double").alias("lifetime"))
+
+
+@q("label_seed", O.build("""select n.cont_rut, case when s.cont_rut is null then 0 else 1 end as alerta_inicial
+ from combined_nodes n left join seeds s on n.cont_rut = s.cont_rut""", ["combined_nodes", "seeds"]))
+def q_label_seed(spark, d):
+    inp = Inputs(spark, d)
+    return enrich.label_seed(propagate.node_universe(inp.force_combined()), inp.seeds())
+
+
+# Nullable integer labels are reported as double, as in the reference's
+# labelled table (a CSV read back by pandas): engine-independent nulls.
+ENRICH_COLS_SQL = (f"cont_rut, {R6('score', 'score')}, cast(total_pago_f29 as double) as total_pago_f29, "
+                   "cast(IVA_neto as double) as IVA_neto, unidad_regional, cast(n_documentos as double) as n_documentos, "
+                   "cast(lifetime as double) as lifetime, alerta_inicial")
+
+
+def _enrich_cols(df):
+    return df.select("cont_rut", r6("score").alias("score"),
+                     *[F.col(c).cast("double").alias(c) for c in ("total_pago_f29", "IVA_neto")],
+                     "unidad_regional",
+                     *[F.col(c).cast("double").alias(c) for c in ("n_documentos", "lifetime")],
+                     "alerta_inicial")
+
+
+@q("enrich", O.build(f"select {ENRICH_COLS_SQL} from {ENR}", [ENR]))
+def q_enrich(spark, d):
+    return _enrich_cols(labelled_nodes(spark, d))
+
+
+@q("label_coverage", O.build(f"""select count(distinct cont_rut) as n_entities, count(total_pago_f29) as n_total_pago_f29,
+ count(IVA_neto) as n_IVA_neto, count(unidad_regional) as n_unidad_regional, count(n_documentos) as n_n_documentos,
+ count(lifetime) as n_lifetime, cast(sum(alerta_inicial) as bigint) as n_seeds from {ENR}""", [ENR]))
+def q_label_coverage(spark, d):
+    return enrich.label_coverage(labelled_nodes(spark, d))
+
+
+# ================================================================= communities
+O.cte("und", """select least(emisor, receptor) as u, greatest(emisor, receptor) as v, sum(Fi) as w
+ from f_comb group by 1, 2""", ("f_comb",))
+O.cte("und_deg", """select node, sum(w) as k from (select u as node, w from und union all select v, w from und)
+ group by node""", ("und",))
+O.cte("fixed_memb", f"select cont_rut as nodo, cont_rut % {fixtures.FIXED_COMMUNITIES} + 1 as comunidad "
+                    "from combined_nodes", ("combined_nodes",))
+O.cte("fixed_q", """select sum(coalesce(l.L, 0) / (select sum(w) from und)
+   - power(dc.d / (2 * (select sum(w) from und)), 2)) as modularidad
+ from (select m.comunidad as c, sum(k) as d from und_deg g join fixed_memb m on g.node = m.nodo group by 1) dc
+ left join (select a.comunidad as c, sum(w) as L from und join fixed_memb a on und.u = a.nodo
+            join fixed_memb b on und.v = b.nodo where a.comunidad = b.comunidad group by 1) l on dc.c = l.c""",
+      ("und", "und_deg", "fixed_memb"))
+O.cte("labelled", f"""select e.*, m.comunidad, (select modularidad from fixed_q) as modularidad
+ from {ENR} e left join fixed_memb m on e.cont_rut = m.nodo""", (ENR, "fixed_memb", "fixed_q"), materialized=True)
+
+
+@q("undirected", O.build(f"select u, v, {R6('w', 'w')} from und", ["und"]))
+def q_undirected(spark, d):
+    return community.to_undirected(Inputs(spark, d).force_combined()).select("u", "v", r6("w").alias("w"))
+
+
+@q("modularity", O.build(f"select {R6('modularidad', 'modularidad')} from fixed_q", ["fixed_q"]))
+def q_modularity(spark, d):
+    inp = Inputs(spark, d)
+    und = community.to_undirected(inp.force_combined())
+    mb = fixed_membership(propagate.node_universe(inp.force_combined()))
+    return community.modularity(und, mb, 1.0, node="nodo").select(r6("modularidad").alias("modularidad"))
+
+
+LAB_COLS_SQL = ENRICH_COLS_SQL + f", comunidad, {R6('modularidad', 'modularidad')}"
+
+
+def _lab_cols(df):
+    return _enrich_cols(df).join(df.select("cont_rut", "comunidad", r6("modularidad").alias("modularidad")), "cont_rut")
+
+
+@q("attach_communities", O.build(f"select {LAB_COLS_SQL} from labelled", ["labelled"]))
+def q_attach_communities(spark, d):
+    return _lab_cols(labelled_nodes(spark, d))
+
+
+@q("louvain")
+def q_louvain(spark, d):
+    """F2 at resolution 0.5 (the main run) on the combined force graph."""
+    und = community.to_undirected(Inputs(spark, d).force_combined())
+    return community.louvain(und, resolution=0.5, seed=0)
+
+
+@q("louvain_labelled")
+def q_louvain_labelled(spark, d):
+    """F2 + F3 + F4: labelled nodes with Louvain communities and Q at γ=1."""
+    und = community.to_undirected(Inputs(spark, d).force_combined())
+    mb = community.louvain(und, resolution=0.5, seed=0)
+    return labelled_nodes(spark, d, membership=mb.select("nodo", "comunidad"))
+
+
+# ====================================================================== report
+@q("communities_min_size", O.build(f"""select {LAB_COLS_SQL} from labelled where comunidad in
+ (select comunidad from labelled where comunidad is not null group by comunidad having count(*) >= 15)""",
+                                   ["labelled"]))
+def q_communities_min_size(spark, d):
+    return _lab_cols(report.min_size(labelled_nodes(spark, d), 15))
+
+
+@q("rank_communities", O.build(f"""select comunidad, {R6('avg(score)', 'score')} from labelled where comunidad in
+ (select comunidad from labelled where comunidad is not null group by comunidad having count(*) >= 15)
+ group by comunidad""", ["labelled"]))
+def q_rank_communities(spark, d):
+    r = report.rank_communities(report.min_size(labelled_nodes(spark, d), 15))
+    return r.select("comunidad", r6("score").alias("score"))
+
+
+TOP5_SQL = """select comunidad from (select comunidad, avg(score) as s from labelled where comunidad in
+ (select comunidad from labelled where comunidad is not null group by comunidad having count(*) >= 15)
+ group by comunidad) order by s desc, comunidad limit 5"""
+O.cte("top5", TOP5_SQL, ("labelled",))
+O.cte("top5_rows", "select * from labelled where comunidad in (select comunidad from top5)", ("labelled", "top5"))
+
+
+def _top5_rows(spark, d):
+    lab = report.min_size(labelled_nodes(spark, d), 15)
+    top = report.top_communities(lab, 5).select("comunidad")
+    return lab.join(top, "comunidad", "left_semi")
+
+
+@q("top_communities", O.build(f"""select comunidad, {R6('s', 'score')} from (select comunidad, avg(score) as s
+ from labelled where comunidad in (select comunidad from top5) group by comunidad)""", ["labelled", "top5"]))
+def q_top_communities(spark, d):
+    t = report.top_communities(report.min_size(labelled_nodes(spark, d), 15), 5)
+    return t.select("comunidad", r6("score").alias("score"))
+
+
+@q("community_profile", O.build(f"""select p.comunidad, p.group_size, {R6('p.score_mean', 'score_mean')},
+ p.alertas_iniciales, {R6('p.perc_alertas', 'perc_alertas')}, m.most_common_region, m.most_common_count
+ from (select comunidad, count(*) as group_size, avg(score) as score_mean,
+       cast(sum(alerta_inicial) as bigint) as alertas_iniciales,
+       100.0 * sum(alerta_inicial) / count(*) as perc_alertas from top5_rows group by comunidad) p
+ left join (select comunidad, unidad_regional as most_common_region, c as most_common_count from
+   (select comunidad, unidad_regional, c, row_number() over (partition by comunidad order by c desc, unidad_regional) as rn
+    from (select comunidad, unidad_regional, count(*) as c from top5_rows where unidad_regional is not null
+          group by 1, 2)) where rn = 1) m on p.comunidad = m.comunidad""", ["top5_rows"]))
+def q_community_profile(spark, d):
+    p = report.community_profile(_top5_rows(spark, d))
+    return p.select("comunidad", "group_size", r6("score_mean").alias("score_mean"), "alertas_iniciales",
+                    r6("perc_alertas").alias("perc_alertas"), "most_common_region", "most_common_count")
+
+
+def _describe_sql(src: str, value: str, by: list[str], where: str = "true") -> str:
+    g = ", ".join(by)
+    sel = (g + ", ") if by else ""
+    grp = f" group by {g}" if by else ""
+    return f"""select {sel}count({value}) as count, {R6(f'avg({value})', 'mean')}, {R6(f'stddev_samp({value})', 'std')},
+ {R6(f'min({value})', 'min')}, {R6(f'quantile_cont({value}, 0.25)', 'q25')}, {R6(f'quantile_cont({value}, 0.5)', 'q50')},
+ {R6(f'quantile_cont({value}, 0.75)', 'q75')}, {R6(f'max({value})', 'max')} from {src} where {where}{grp}"""
+
+
+def _describe_cols(df, by=()):
+    return df.select(*by, "count", r6("mean").alias("mean"), r6("std").alias("std"), r6("min").alias("min"),
+                     r6("q25").alias("q25"), r6("q50").alias("q50"), r6("q75").alias("q75"), r6("max").alias("max"))
+
+
+_G5_COLS = ["score", "total_pago_f29", "IVA_neto", "n_documentos", "lifetime", "alerta_inicial", "modularidad"]
+O.cte("top5_long", " union all ".join(
+    f"select comunidad, '{c}' as \"column\", cast({c} as double) as value from top5_rows" for c in _G5_COLS),
+    ("top5_rows",))
+
+
+@q("community_describe", O.build(
+    _describe_sql("top5_long", "value", ["comunidad", '"column"'], "value is not null")
+    .replace('select comunidad, "column", count', 'select comunidad, "column" as "column", count'),
+    ["top5_long"]))
+def q_community_describe(spark, d):
+    return _describe_cols(report.community_describe(_top5_rows(spark, d)), ["comunidad", "column"])
+
+
+def _hist_sql(src: str, col: str, bins: int, by: list[str], where: str = "true", density: bool = False) -> str:
+    g = ", ".join(by)
+    sel = (g + ", ") if by else ""
+    join_on = " and ".join(f"x.{b} = s.{b}" for b in by) or "true"
+    grid_by = ", ".join(f"s.{b}" for b in by)
+    gsel = (grid_by + ", ") if by else ""
+    cnt_by = ", ".join(f"c.{b}" for b in by)
+    on_c = " and ".join([f"c.{b} = gr.{b}" for b in by] + ["c.bin = gr.bin"])
+    dens = (f", {R6('coalesce(c.count, 0) / (gr.n * case when gr.mx = gr.mn then 1.0 else (gr.mx - gr.mn) / ' + str(bins) + ' end)', 'density')}"
+            if density else "")
+    bysel = ", ".join(f"gr.{b}" for b in by)
+    bysel = (bysel + ", ") if by else ""
+    return f"""with base as (select {sel}cast({col} as double) as x from {src} where {col} is not null and ({where})),
+ st as (select {sel}min(x) as mn, max(x) as mx, count(*) as n from base{(' group by ' + g) if by else ''}),
+ binned as (select {('x.' + ', x.'.join(by) + ', ') if by else ''}case when s.mx = s.mn then 0
+   else least(floor((x.x - s.mn) * {bins} / (s.mx - s.mn)), {bins - 1}) end as bin
+   from base x join st s on {join_on}),
+ c as (select {sel}cast(bin as integer) as bin, count(*) as count from binned group by {sel}bin),
+ gr as (select {gsel}s.mn, s.mx, s.n, cast(b.bin as integer) as bin from st s, range({bins}) b(bin))
+ select {bysel}gr.bin, {R6(f'gr.mn + gr.bin * (gr.mx - gr.mn) / {bins}', 'bin_lo')},
+  {R6(f'case when gr.bin = {bins - 1} then gr.mx else gr.mn + (gr.bin + 1) * (gr.mx - gr.mn) / {bins} end', 'bin_hi')},
+  cast(coalesce(c.count, 0) as bigint) as count{dens}
+ from gr left join c on {on_c}"""
+
+
+def _hist_cols(df, by=(), density=False):
+    cols = [*by, "bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "count"]
+    if density:
+        cols.append(r6("density").alias("density"))
+    return df.select(*cols)
+
+
+def _nested(sql_with: str, inner: str, needs) -> str:
+    """Prefix the CTEs ``needs`` to a query that has its own WITH."""
+    head = O.build("select 1", needs)
+    return head[:-len("select 1")].rstrip() + ",\n" + inner[len("with "):]
+
+
+@q("community_hist", _nested("", _hist_sql("top5_rows", "score", 10, ["comunidad"]).replace(
+    "c as (select comunidad, cast(bin as integer) as bin, count(*) as count from binned group by comunidad, bin)",
+    "c as (select comunidad, cast(bin as integer) as bin, count(*) as count from binned group by comunidad, bin)"),
+    ["top5_rows"]))
+def q_community_hist_total(spark, d):
+    h = profile.histogram(_top5_rows(spark, d), "score", 10, by=["comunidad"])
+    return _hist_cols(h, ["comunidad"])
+
+
+@q("community_hist_stacked", O.build(f"""select r.comunidad, cast(case when g.mx = g.mn then 0
+   else least(floor((r.score - g.mn) * 10 / (g.mx - g.mn)), 9) end as integer) as bin, r.alerta_inicial,
+   count(*) as count from top5_rows r join (select comunidad, min(score) as mn, max(score) as mx from top5_rows
+   group by comunidad) g on r.comunidad = g.comunidad where r.score is not null group by 1, 2, 3""", ["top5_rows"]))
+def q_community_hist_stacked(spark, d):
+    h = report.community_hist(_top5_rows(spark, d), 10)
+    return h.select("comunidad", "bin", "alerta_inicial", "count")
+
+
+# ================================================================ distributions
+@q("hist_vat", _nested("", _hist_sql("arcs", "Monto_IVA", 30, [], "Monto_IVA > 0 and Monto_IVA < 1e6"), ["arcs"]))
+def q_hist_vat(spark, d):
+    a = Inputs(spark, d).arcs().where((F.col("Monto_IVA") > 0) & (F.col("Monto_IVA") < 1e6))
+    return _hist_cols(profile.histogram(a, "Monto_IVA", 30))
+
+
+@q("hist_score", _nested("", _hist_sql("combined_s15", "score", 10, [], "score > 0.1"), ["combined_s15"]))
+def q_hist_score(spark, d):
+    st = run_scenario(spark, d, "combined", 15).state.where(F.col("score") > 0.1)
+    return _hist_cols(profile.histogram(st, "score", 10))
+
+
+O.cte("new_comb", "select s.cont_rut as contaminados, round(s.score, 3) as score from combined_s15 s "
+                  "where s.cont_rut not in (select cont_rut from seeds)", ("combined_s15", "seeds"))
+
+
+def _new_comb(spark, d):
+    return propagate.new_scores(run_scenario(spark, d, "combined", 15).state, Inputs(spark, d).seeds())
+
+
+@q("hist_density", _nested("", _hist_sql("new_comb", "score", 100, [], "score > 0", density=True), ["new_comb"]))
+def q_hist_density(spark, d):
+    return _hist_cols(profile.histogram(_new_comb(spark, d).where(F.col("score") > 0), "score", 100,
+                                        stat="density"), density=True)
+
+
+@q("hist_density_high", _nested("", _hist_sql("new_comb", "score", 100, [], "score >= 0.5", density=True),
+                                ["new_comb"]))
+def q_hist_density_high(spark, d):
+    return _hist_cols(profile.histogram(_new_comb(spark, d).where(F.col("score") >= 0.5), "score", 100,
+                                        stat="density"), density=True)
+
+
+@q("kde_score", O.build(f"""select cast(g.i as integer) as i, {R6('st.lo + g.i * (st.hi - st.lo) / 199', 'x')},
+ {R6('sum(v.w * exp(-0.5 * power((v.x - (st.lo + g.i * (st.hi - st.lo) / 199)) / st.h, 2))) / (st.n * st.h * sqrt(2 * pi()))', 'density')}
+ from (select score as x, count(*) as w from new_comb where score >= 0.5 group by score) v,
+  (select n, h, mn - 3 * h as lo, mx + 3 * h as hi from (select count(*) as n, stddev_samp(score) * power(count(*), -0.2) as h,
+    min(score) as mn, max(score) as mx from new_comb where score >= 0.5)) st,
+  range(200) g(i)
+ group by g.i, st.lo, st.hi, st.n, st.h""", ["new_comb"]))
+def q_kde_score(spark, d):
+    k = profile.kde(_new_comb(spark, d).where(F.col("score") >= 0.5), "score", 200)
+    return k.select(F.col("i").cast("int").alias("i"), r6("x").alias("x"), r6("density").alias("density"))
+
+
+@q("describe_scores", O.build(_describe_sql("combined_s15", "score", []), ["combined_s15"]))
+def q_describe_scores(spark, d):
+    return _describe_cols(describe(run_scenario(spark, d, "combined", 15).state, "score", tiebreak=["cont_rut"]))
+
+
+@q("describe_positive", O.build(_describe_sql("new_comb", "score", [], "score > 0"), ["new_comb"]))
+def q_describe_positive(spark, d):
+    return _describe_cols(describe(_new_comb(spark, d).where(F.col("score") > 0), "score",
+                                   tiebreak=["contaminados"]))
+
+
+@q("describe_high", O.build(_describe_sql("new_comb", "score", [], "score >= 0.5"), ["new_comb"]))
+def q_describe_high(spark, d):
+    return _describe_cols(describe(_new_comb(spark, d).where(F.col("score") >= 0.5), "score",
+                                   tiebreak=["contaminados"]))
+
+
+def _cmp_sql() -> str:
+    parts, needs = [], []
+    for sc in ("vat", "rep", "combined"):
+        st = f"{sc}_s15"
+        needs.append(st)
+        parts.append(f"""select '{sc}' as scenario, count_if(score >= 0.5) as n_high, count_if(score > 0) as n_positive,
+ count(*) as n_new from (select round(s.score, 3) as score from {st} s where s.cont_rut not in (select cont_rut from seeds))""")
+    return O.build("\nunion all\n".join(parts), needs + ["seeds"])
+
+
+@q("compare_scenarios", _cmp_sql())
+def q_compare_scenarios(spark, d):
+    sd = Inputs(spark, d).seeds()
+    return profile.compare_scenarios({sc: propagate.new_scores(run_scenario(spark, d, sc, 15).state, sd)
+                                      for sc in ("vat", "rep", "combined")})
+
+
+# =================================================================== graph ops
+SAMPLE_COMMUNITIES = (3, 7, 11)
+_ids = ", ".join(str(i) for i in SAMPLE_COMMUNITIES)
+O.cte("sample_nodes", f"select * from labelled where comunidad in ({_ids})", ("labelled",))
+
+
+@q("select_communities", O.build(f"select {LAB_COLS_SQL} from sample_nodes", ["sample_nodes"]))
+def q_select_communities(spark, d):
+    return _lab_cols(graphops.select_communities(labelled_nodes(spark, d), SAMPLE_COMMUNITIES))
+
+
+@q("induced_edges", O.build(f"""select emisor, receptor, {R6('Fi', 'Fi')} from f_comb
+ where emisor in (select cont_rut from sample_nodes) and receptor in (select cont_rut from sample_nodes)""",
+                            ["f_comb", "sample_nodes"]))
+def q_induced_edges(spark, d):
+    nodes = graphops.select_communities(labelled_nodes(spark, d), SAMPLE_COMMUNITIES)
+    e = graphops.induced_edges(Inputs(spark, d).force_combined(), nodes)
+    return e.select("emisor", "receptor", r6("Fi").alias("Fi"))
+
+
+O.cte("exp_edges", """select emisor, receptor, max(cast(Fi as double)) as Fuerza from f_comb
+ where emisor in (select cont_rut from labelled) and receptor in (select cont_rut from labelled)
+ group by emisor, receptor""", ("f_comb", "labelled"))
+
+
+def _export_edges(spark, d):
+    return export.export_edges(Inputs(spark, d).force_combined(), labelled_nodes(spark, d))
+
+
+@q("relations", O.build("select emisor as source, 'emite_a' as relation, receptor as target from exp_edges",
+                        ["exp_edges"]))
+def q_relations(spark, d):
+    return graphops.relations(_export_edges(spark, d))
+
+
+@q("relations_communities", O.build("""select e.emisor as source, 'emite_a' as relation, e.receptor as target,
+ a.comunidad as comunidad_source, b.comunidad as comunidad_target from exp_edges e
+ join labelled a on e.emisor = a.cont_rut join labelled b on e.receptor = b.cont_rut""", ["exp_edges", "labelled"]))
+def q_relations_communities(spark, d):
+    return graphops.relations_with_communities(_export_edges(spark, d), labelled_nodes(spark, d))
+
+
+@q("distinct_communities", O.build("select distinct comunidad from labelled", ["labelled"]))
+def q_distinct_communities(spark, d):
+    return graphops.distinct_communities(labelled_nodes(spark, d))
+
+
+EDGE_COMMUNITY = 7
+
+
+@q("community_edges", O.build(f"""select e.emisor as source, a.alerta_inicial, a.IVA_neto, 'emite_a' as relation,
+ e.receptor as target from exp_edges e join labelled a on e.emisor = a.cont_rut join labelled b on e.receptor = b.cont_rut
+ where cast(a.comunidad as varchar) = '{EDGE_COMMUNITY}' or cast(b.comunidad as varchar) = '{EDGE_COMMUNITY}'""",
+                              ["exp_edges", "labelled"]))
+def q_community_edges(spark, d):
+    return graphops.community_edges(_export_edges(spark, d), labelled_nodes(spark, d), EDGE_COMMUNITY)
+
+
+# ====================================================================== export
+def _txt(c: str, dbl: bool = False) -> str:
+    if dbl:
+        return f"coalesce(cast(cast(round({c} + 1e-10, 6) as decimal(38, 6)) as varchar), '') as {c}"
+    return f"coalesce(cast({c} as varchar), '') as {c}"
+
+
+@q("export_nodes", O.build(f"""select cast(cont_rut as varchar) as cont_rut, {_txt('score', True)},
+ {_txt('total_pago_f29')}, {_txt('IVA_neto')}, {_txt('unidad_regional')}, {_txt('n_documentos')},
+ {_txt('lifetime')}, {_txt('alerta_inicial')}, {_txt('comunidad')} from labelled""", ["labelled"]))
+def q_export_nodes(spark, d):
+    return export.export_nodes(labelled_nodes(spark, d))
+
+
+@q("export_edges", O.build(f"select emisor, receptor, {R6('Fuerza', 'Fuerza')}, 'emite_a' as relation from exp_edges",
+                           ["exp_edges"]))
+def q_export_edges(spark, d):
+    return _export_edges(spark, d).select("emisor", "receptor", r6("Fuerza").alias("Fuerza"), "relation")
+
+
+@q("node_key_violations", O.build("select cont_rut, count(*) as n from labelled group by cont_rut having count(*) > 1",
+                                  ["labelled"]))
+def q_node_key_violations(spark, d):
+    return export.node_key_violations(labelled_nodes(spark, d))

@@ -13,6 +13,12 @@ from ..sources.fixtures import AS_OF, FIXTURE_DEPS, FIXTURE_SQL, SINCE
 _CTES: dict[str, tuple[str, tuple[str, ...], bool]] = {}
 
 
+def R6(expr: str, alias: str | None = None) -> str:
+    """Reported 6-decimal rounding, same rule as ``functions.expr.r6``."""
+    out = f"round(({expr}) + 1e-10, 6)"
+    return f"{out} as {alias}" if alias else out
+
+
 def cte(name: str, sql: str, deps: tuple[str, ...] = (), materialized: bool = False) -> None:
     _CTES[name] = (sql, deps, materialized)
 
