@@ -7,6 +7,8 @@ Q_γ = Σ_c [L_c/m − γ·(d_c/2m)²]."""
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -16,6 +18,9 @@ from ..functions.expr import distributed_rank
 from ..sources.io import cut
 
 
+_DEBUG = bool(os.environ.get("RISKGRAPH_DEBUG"))
+
+
 def to_undirected(edges: DataFrame, weight: str = "Fi") -> DataFrame:
     """(u ≤ v, w) with w = Σ of both directions; self-loops kept."""
     u = F.least("emisor", "receptor")
@@ -32,12 +37,12 @@ def degrees(und: DataFrame) -> DataFrame:
 
 
 def modularity(und: DataFrame, membership: DataFrame, resolution: float = 1.0,
-               node: str = "node", community: str = "comunidad") -> DataFrame:
+               node: str = "node", community: str = "comunidad", m: float | None = None) -> DataFrame:
     """one row, ``modularidad`` = Q_γ of the partition. Two partial
     aggregates (intra weight per community, degree sum per community) and
     one tiny final sum."""
     mb = membership.select(F.col(node).alias("__n"), F.col(community).alias("__c"))
-    m = und.select(F.sum("w")).scalar()
+    m = F.lit(float(m)) if m is not None else und.select(F.sum("w")).scalar()
     cu = und.join(mb.withColumnRenamed("__c", "cu"), und.u == mb.__n).drop("__n")
     cuv = cu.join(mb.withColumnRenamed("__c", "cv"), cu.v == mb.__n).drop("__n")
     lc = cuv.where(F.col("cu") == F.col("cv")).groupBy(F.col("cu").alias("c")).agg(F.sum("w").alias("L"))
@@ -65,8 +70,8 @@ def _eligible(node_col: str, sweep: int, seed: int, frac_bits: int):
     return F.pmod(h, F.lit(1 << frac_bits)) == 0
 
 
-def _q_of(und: DataFrame, memb: DataFrame, gamma: float) -> float:
-    return modularity(und, memb, gamma, node="node", community="c").first()["modularidad"]
+def _q_of(und: DataFrame, memb: DataFrame, gamma: float, m: float | None = None) -> float:
+    return modularity(und, memb, gamma, node="node", community="c", m=m).first()["modularidad"]
 
 
 def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
@@ -83,7 +88,7 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
            .select("x.src", "x.dst", "x.w"))
     adj = cut(adj, f"louvain-adj-l{level}")
     memb = cut(k.select("node", F.col("node").alias("c")), f"louvain-m-l{level}-s0")
-    best_q = _q_of(und, memb, gamma)
+    best_q = _q_of(und, memb, gamma, m)
     moved = False
     frac_bits = 1
     g = float(gamma)
@@ -101,19 +106,24 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
                 .select("src", "own", "k", "tot"))
         dec = best.join(stay, "src").withColumn(
             "stay_val", F.coalesce(F.col("kin_own"), F.lit(0.0)) - g * F.col("k") * (F.col("tot") - F.col("k")) / (2 * m))
-        moves = dec.where(F.col("b").isNotNull() & (F.col("b.val") > F.col("stay_val") + tol)
-                          & _eligible("src", level * 1000 + sweep, seed, frac_bits)) \
-                   .select(F.col("src").alias("node"), (-F.col("b.neg")).alias("newc"))
+        dec = cut(dec.where(F.col("b").isNotNull() & (F.col("b.val") > F.col("stay_val") + tol))
+                  .select(F.col("src").alias("node"), (-F.col("b.neg")).alias("newc")),
+                  f"louvain-dec-l{level}-s{sweep}")
+        if dec.limit(1).count() == 0:
+            break                       # no node can improve: the level has converged
+        moves = dec.where(_eligible("node", level * 1000 + sweep, seed, frac_bits))
         new_memb = (memb.join(moves, "node", "left")
                     .select("node", F.coalesce(F.col("newc"), F.col("c")).alias("c")))
         new_memb = cut(new_memb, f"louvain-m-l{level}-s{sweep}")
-        q_new = _q_of(und, new_memb, gamma)
+        q_new = _q_of(und, new_memb, gamma, m)
+        if _DEBUG:
+            print(f"louvain level={level} sweep={sweep} q={q_new:.6f} best={best_q:.6f} t={time.time():.1f}")
         if q_new > best_q + tol:
             memb, best_q, moved = new_memb, q_new, True
             frac_bits = 1
         else:
             frac_bits += 1
-            if frac_bits > 6:
+            if frac_bits > 3:
                 break
     return memb, best_q, moved
 
@@ -148,7 +158,7 @@ def louvain(und: DataFrame, resolution: float = 1.0, seed: int = 0, max_sweeps:
                         .agg(F.sum("w").alias("w")), f"louvain-und-{level + 1}")
     sizes = mapping.groupBy("cur").agg(F.count(F.lit(1)).alias("size"), F.min("orig").alias("first"))
     ranked = distributed_rank(sizes, [F.desc("size"), F.asc("first")], name="comunidad")
-    q_final = _q_of(und, mapping.select(F.col("orig").alias("node"), F.col("cur").alias("c")), resolution)
+    q_final = _q_of(und, mapping.select(F.col("orig").alias("node"), F.col("cur").alias("c")), resolution, m)
     return (mapping.join(ranked.select("cur", "comunidad"), "cur")
             .select(F.col("orig").alias("nodo"), F.col("comunidad").cast("long").alias("comunidad"),
                     F.lit(q_final).alias("q_gamma")))

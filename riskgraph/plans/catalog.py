@@ -266,7 +266,7 @@ def q_graph_counts(spark, d):
 # ====================================================================== labels
 from ..functions.expr import describe  # noqa: E402
 from ..operators import community, enrich, export, graphops, profile, report  # noqa: E402
-from .scenarios import fixed_membership, labelled_nodes  # noqa: E402
+from .scenarios import fixed_membership, labelled_nodes, louvain_membership  # noqa: E402
 
 SINCE, AS_OF = fixtures.SINCE, fixtures.AS_OF
 ENR = O.enrich_cte("combined", 15)
@@ -378,15 +378,13 @@ def q_attach_communities(spark, d):
 @q("louvain")
 def q_louvain(spark, d):
     """F2 at resolution 0.5 (the main run) on the combined force graph."""
-    und = community.to_undirected(Inputs(spark, d).force_combined())
-    return community.louvain(und, resolution=0.5, seed=0)
+    return louvain_membership(spark, d, 0.5, 0)
 
 
 @q("louvain_labelled")
 def q_louvain_labelled(spark, d):
     """F2 + F3 + F4: labelled nodes with Louvain communities and Q at γ=1."""
-    und = community.to_undirected(Inputs(spark, d).force_combined())
-    mb = community.louvain(und, resolution=0.5, seed=0)
+    mb = louvain_membership(spark, d, 0.5, 0)
     return labelled_nodes(spark, d, membership=mb.select("nodo", "comunidad"))
 
 

@@ -125,3 +125,16 @@ def labelled_nodes(spark: SparkSession, sf_dir: str, rounds: int = propagate.DEF
     if membership is None:
         _LABELLED[key] = out
     return out
+
+
+_LOUVAIN: dict[tuple, DataFrame] = {}
+
+
+def louvain_membership(spark: SparkSession, sf_dir: str, resolution: float = 0.5, seed: int = 0) -> DataFrame:
+    """Louvain (nodo, comunidad, q_gamma) on the combined force graph;
+    written once per session and parameters."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), float(resolution), seed)
+    if key not in _LOUVAIN:
+        und = community.to_undirected(Inputs(spark, sf_dir).force_combined())
+        _LOUVAIN[key] = cut(community.louvain(und, resolution=resolution, seed=seed), "louvain-membership")
+    return _LOUVAIN[key]
