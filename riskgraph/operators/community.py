@@ -76,10 +76,12 @@ def _q_of(und: DataFrame, memb: DataFrame, gamma: float, m: float | None = None)
 
 def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
                max_sweeps: int, tol: float) -> tuple[DataFrame, float, bool]:
-    """Local moving on one level. Synchronous moves can swap or chase each
-    other, so only a pseudo-random subset moves per sweep (half at first,
-    smaller fractions after a sweep that did not raise Q), a sweep is kept
-    only if it raises Q_γ, and the best partition so far is returned."""
+    """Local moving on one level. All nodes decide at once from the same
+    membership; to keep simultaneous moves from undoing each other, two
+    singletons merge only towards the smaller label, a sweep is kept only if
+    it raises Q_γ, and after a sweep that does not, only a pseudo-random
+    half (then quarter, eighth) of the improving nodes may move; the fraction
+    doubles again after a sweep that does."""
     k = cut(degrees(und), f"louvain-deg-l{level}")
     adj = (und.where(F.col("u") != F.col("v"))
            .select(F.explode(F.array(
@@ -90,15 +92,20 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
     memb = cut(k.select("node", F.col("node").alias("c")), f"louvain-m-l{level}-s0")
     best_q = _q_of(und, memb, gamma, m)
     moved = False
-    frac_bits = 1
+    frac_bits = 0                       # every improving node may move; halved after a failed sweep
     g = float(gamma)
     for sweep in range(1, max_sweeps + 1):
         own = memb.join(k, "node").select(F.col("node").alias("src"), F.col("c").alias("own"), F.col("k"))
-        tot = memb.join(k, "node").groupBy("c").agg(F.sum("k").alias("tot"))
+        tot = memb.join(k, "node").groupBy("c").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("sz"))
         nb = (adj.join(memb.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
               .groupBy("src", "cd").agg(F.sum("w").alias("kin")))
-        cand = (nb.join(own, "src").join(tot.withColumnRenamed("c", "cd"), "cd")
+        cand = (nb.join(own, "src").join(tot.withColumnRenamed("c", "cd").withColumnRenamed("sz", "szd"), "cd")
                 .withColumn("val", F.col("kin") - g * F.col("k") * F.col("tot") / (2 * m)))
+        own_sz = tot.select(F.col("c").alias("own"), F.col("sz").alias("szo"))
+        # two singletons may merge only towards the smaller label, so a pair
+        # of neighbours cannot swap communities in the same sweep
+        cand = cand.join(own_sz, "own").where(
+            ~((F.col("szo") == 1) & (F.col("szd") == 1) & (F.col("cd") > F.col("own"))))
         best = cand.groupBy("src").agg(
             F.max(F.when(F.col("cd") != F.col("own"), F.struct(F.col("val"), (-F.col("cd")).alias("neg")))).alias("b"),
             F.max(F.when(F.col("cd") == F.col("own"), F.col("kin"))).alias("kin_own"))
@@ -117,10 +124,11 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
         new_memb = cut(new_memb, f"louvain-m-l{level}-s{sweep}")
         q_new = _q_of(und, new_memb, gamma, m)
         if _DEBUG:
-            print(f"louvain level={level} sweep={sweep} q={q_new:.6f} best={best_q:.6f} t={time.time():.1f}")
+            print(f"louvain level={level} sweep={sweep} q={q_new:.6f} best={best_q:.6f} frac=1/{1 << frac_bits} "
+                  f"at={time.time():.1f}")
         if q_new > best_q + tol:
             memb, best_q, moved = new_memb, q_new, True
-            frac_bits = 1
+            frac_bits = max(0, frac_bits - 1)
         else:
             frac_bits += 1
             if frac_bits > 3:
@@ -141,8 +149,15 @@ def louvain(und: DataFrame, resolution: float = 1.0, seed: int = 0, max_sweeps:
     m = und.select(F.sum("w")).first()[0]
     if not m:
         return und.sparkSession.createDataFrame([], "nodo long, comunidad long, q_gamma double")
-    mapping = degrees(und).select(F.col("node").alias("orig"), F.col("node").alias("cur"))
-    mapping = cut(mapping, "louvain-map-0")
+    if resolution <= 0:
+        # γ = 0: Q = Σ L_c / m only grows by merging connected communities,
+        # so the optimum is the connected components
+        mapping = cut(connected_components(und).select(F.col("node").alias("orig"), F.col("c").alias("cur")),
+                      "louvain-map-cc")
+        max_levels = 0
+    else:
+        mapping = degrees(und).select(F.col("node").alias("orig"), F.col("node").alias("cur"))
+        mapping = cut(mapping, "louvain-map-0")
     level_und = und
     q_prev = None
     for level in range(max_levels):

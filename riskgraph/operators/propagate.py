@@ -171,7 +171,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = DEFAULT_ROUNDS,
         nxt = propagate_step(graph, state)
         if clamp:
             nxt = nxt.withColumn("score", F.least(F.col("score"), F.lit(1.0)))
-        nxt = cut_bucketed(nxt, f"state-r{k}", "cont_rut", graph.buckets)
+        nxt = cut_bucketed(nxt, f"state-r{k}", "cont_rut", graph.buckets, repartition=clamp)
         states.append(nxt)
         if tol is not None:
             moved = (nxt.alias("n").join(state.alias("o"), "cont_rut")
@@ -189,19 +189,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = DEFAULT_ROUNDS,
 def round_metrics(states: list[DataFrame]) -> DataFrame:
     """Per round, the counters printed by the reference runs:
     0.5 < s < 1 (``new_values``), s > 0.5 and s ≠ 1, 0.1 < s < 1, s > 0.1.
-    One job over all written round states."""
-    out = None
+    One grouped aggregate over the union of the written round states."""
+    tagged = None
     for k, st in enumerate(states):
         if k == 0:
             continue
-        s = F.col("score")
-        row = st.agg(F.lit(k).alias("iterations"),
-                      F.count_if((s > 0.5) & (s < 1)).alias("new_values"),
-                      F.count_if((s > 0.5) & (s != 1)).alias("over_05_not_1"),
-                      F.count_if((s > 0.1) & (s < 1)).alias("over_01_below_1"),
-                      F.count_if(s > 0.1).alias("over_01"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        t = st.select(F.lit(k).alias("iterations"), "score")
+        tagged = t if tagged is None else tagged.unionByName(t)
+    s = F.col("score")
+    return tagged.groupBy("iterations").agg(
+        F.count_if((s > 0.5) & (s < 1)).alias("new_values"),
+        F.count_if((s > 0.5) & (s != 1)).alias("over_05_not_1"),
+        F.count_if((s > 0.1) & (s < 1)).alias("over_01_below_1"),
+        F.count_if(s > 0.1).alias("over_01"))
 
 
 def total_scores(state: DataFrame) -> DataFrame:

@@ -266,7 +266,7 @@ def q_graph_counts(spark, d):
 # ====================================================================== labels
 from ..functions.expr import describe  # noqa: E402
 from ..operators import community, enrich, export, graphops, profile, report  # noqa: E402
-from .scenarios import fixed_membership, labelled_nodes, louvain_membership  # noqa: E402
+from .scenarios import GAMMAS, fixed_membership, labelled_nodes, louvain_membership, resolution_study  # noqa: E402,E501
 
 SINCE, AS_OF = fixtures.SINCE, fixtures.AS_OF
 ENR = O.enrich_cte("combined", 15)
@@ -388,6 +388,18 @@ def q_louvain_labelled(spark, d):
     return labelled_nodes(spark, d, membership=mb.select("nodo", "comunidad"))
 
 
+@q("resolution_study")
+def q_resolution_study(spark, d):
+    """Louvain at γ = 0.0, 0.1, …, 1.0, each with Q at γ = 1."""
+    return resolution_study(spark, d)
+
+
+@q("study_table")
+def q_study_table(spark, d):
+    """labelled nodes + one community and one modularity column per γ."""
+    return community.study_table(labelled_nodes(spark, d), resolution_study(spark, d), GAMMAS)
+
+
 # ====================================================================== report
 @q("communities_min_size", O.build(f"""select {LAB_COLS_SQL} from labelled where comunidad in
  (select comunidad from labelled where comunidad is not null group by comunidad having count(*) >= 15)""",

@@ -138,3 +138,17 @@ def louvain_membership(spark: SparkSession, sf_dir: str, resolution: float = 0.5
         und = community.to_undirected(Inputs(spark, sf_dir).force_combined())
         _LOUVAIN[key] = cut(community.louvain(und, resolution=resolution, seed=seed), "louvain-membership")
     return _LOUVAIN[key]
+
+
+_STUDY: dict[tuple, DataFrame] = {}
+GAMMAS = tuple(i / 10 for i in range(11))
+
+
+def resolution_study(spark: SparkSession, sf_dir: str, gammas=GAMMAS, seed: int = 0) -> DataFrame:
+    """F5 on the combined force graph: long table (nodo, gamma, comunidad,
+    modularidad); written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(gammas), seed)
+    if key not in _STUDY:
+        und = community.to_undirected(Inputs(spark, sf_dir).force_combined())
+        _STUDY[key] = cut(community.resolution_study(und, gammas, seed=seed), "resolution-study")
+    return _STUDY[key]

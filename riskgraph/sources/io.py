@@ -99,15 +99,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def cut_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def cut_bucketed(df: DataFrame, name: str, key: str, buckets: int, repartition: bool = True) -> DataFrame:
     """Like :func:`cut`, but written as an external table bucketed by ``key``
     into ``buckets`` files. A later join on ``key`` with another table of the
     same bucket count reads both sides in place: no exchange. Used for the
-    prepared edges and the per-round node state of the propagation loop."""
+    prepared edges and the per-round node state of the propagation loop.
+
+    ``repartition=False`` when ``df`` is already hash-partitioned on ``key``
+    (e.g. the output of a group-by on it): bucketing uses the same hash, so
+    each task writes only its own buckets and no extra shuffle is needed."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"rg_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-    (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
-       .bucketBy(buckets, key).option("path", path).saveAsTable(table))
+    out = df.repartition(buckets, key) if repartition else df
+    (out.write.mode("overwrite").format("parquet")
+        .bucketBy(buckets, key).option("path", path).saveAsTable(table))
     return spark.table(table)
 

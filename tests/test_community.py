@@ -56,3 +56,19 @@ def test_resolution_zero_is_components(spark):
     assert len({cc[n] for n in range(1, 7)}) == 1 and cc[7] == cc[8] != cc[1]
     lv = {r.nodo: r.comunidad for r in C.louvain(und, resolution=0.0, seed=0).collect()}
     assert len({lv[n] for n in range(1, 7)}) == 1 and lv[7] == lv[8] != lv[1]
+
+
+def test_louvain_invariants_on_test_tables(spark):
+    from riskgraph.plans.scenarios import Inputs, louvain_membership
+    sf = "/root/testdata/sf0.001"
+    und = C.to_undirected(Inputs(spark, sf).force_combined())
+    mb = louvain_membership(spark, sf, 0.5, 0)
+    rows = mb.collect()
+    nodes = {r.node for r in C.degrees(und).collect()}
+    assert sorted(r.nodo for r in rows) == sorted(nodes)                      # every node exactly once
+    labels = {r.comunidad for r in rows}
+    assert labels == set(range(1, len(labels) + 1))                           # labels 1..k
+    q = C.modularity(und, mb, 0.5, node="nodo").first().modularidad
+    assert rows[0].q_gamma == pytest.approx(q, abs=1e-12)                     # reported Q is the partition's Q
+    singles = spark.createDataFrame([(n, n) for n in nodes], "nodo long, comunidad long")
+    assert q >= C.modularity(und, singles, 0.5, node="nodo").first().modularidad

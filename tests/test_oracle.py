@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-SKIP_SLOW = {"louvain", "louvain_labelled"}
+SKIP_SLOW = {"louvain", "louvain_labelled", "resolution_study", "study_table"}
 
 
 def _norm(v):
