@@ -74,6 +74,42 @@ def _q_of(und: DataFrame, memb: DataFrame, gamma: float, m: float | None = None)
     return modularity(und, memb, gamma, node="node", community="c", m=m).first()["modularidad"]
 
 
+def _decisions(nt: DataFrame, adj: DataFrame, m: float, g: float, name: str) -> DataFrame:
+    """One table per sweep, one row per node: community ``c``, degree ``k``,
+    self-loop ``sl``, community total ``tot``, weight to its own community
+    ``kin_own`` and the best other community ``b`` (value, −id). The current
+    Q_γ is one aggregate of this same table (see ``_q_from``)."""
+    tot = nt.groupBy("c").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("sz"))
+    ext = nt.join(tot, "c")
+    nb = (adj.join(nt.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
+          .groupBy("src", "cd").agg(F.sum("w").alias("kin")))
+    cand = (nb.join(ext.select(F.col("node").alias("src"), F.col("c").alias("own"), "k", F.col("sz").alias("szo")),
+                    "src")
+            .join(tot.select(F.col("c").alias("cd"), F.col("tot").alias("tot_cd"), F.col("sz").alias("szd")), "cd"))
+    # two singletons may merge only towards the smaller label, so a pair of
+    # neighbours cannot swap communities in the same sweep
+    allowed = ~((F.col("szo") == 1) & (F.col("szd") == 1) & (F.col("cd") > F.col("own")))
+    val = F.col("kin") - g * F.col("k") * F.col("tot_cd") / (2 * m)
+    per_src = cand.groupBy(F.col("src").alias("node")).agg(
+        F.max(F.when((F.col("cd") != F.col("own")) & allowed,
+                     F.struct(val.alias("val"), (-F.col("cd")).alias("neg")))).alias("b"),
+        F.max(F.when(F.col("cd") == F.col("own"), F.col("kin"))).alias("kin_own"))
+    dec = ext.join(per_src, "node", "left").select(
+        "node", "c", "k", "sl", "tot", F.coalesce(F.col("kin_own"), F.lit(0.0)).alias("kin_own"), "b")
+    stay = F.col("kin_own") - g * F.col("k") * (F.col("tot") - F.col("k")) / (2 * m)
+    return cut(dec.withColumn("improves", F.col("b").isNotNull() & (F.col("b.val") > stay)), name)
+
+
+def _q_from(dec: DataFrame, m: float, g: float, tol: float) -> tuple[float, int]:
+    """Q_γ of the membership in ``dec`` and the number of nodes with an
+    improving move: L = Σ_u (sl_u + kin_own_u/2), Σ_c tot_c² = Σ_u k_u·tot_c(u)."""
+    stay_gain = F.col("b.val") - (F.col("kin_own") - g * F.col("k") * (F.col("tot") - F.col("k")) / (2 * m))
+    r = dec.agg((F.sum(F.col("sl") + F.col("kin_own") / 2) / m
+                 - g * F.sum(F.col("k") * F.col("tot")) / (4 * m * m)).alias("q"),
+                F.count_if(F.col("improves") & (stay_gain > tol)).alias("n")).first()
+    return r["q"], r["n"]
+
+
 def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
                max_sweeps: int, tol: float) -> tuple[DataFrame, float, bool]:
     """Local moving on one level. All nodes decide at once from the same
@@ -81,59 +117,46 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
     singletons merge only towards the smaller label, a sweep is kept only if
     it raises Q_γ, and after a sweep that does not, only a pseudo-random
     half (then quarter, eighth) of the improving nodes may move; the fraction
-    doubles again after a sweep that does."""
-    k = cut(degrees(und), f"louvain-deg-l{level}")
+    doubles again after a sweep that does. Q_γ of a membership comes out of
+    the same table as its move decisions, so a sweep is two table writes and
+    one small aggregate."""
+    g = float(gamma)
+    k = degrees(und)
+    sl = und.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("w").alias("sl"))
     adj = (und.where(F.col("u") != F.col("v"))
            .select(F.explode(F.array(
                F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("w")),
                F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("w").alias("w")))).alias("x"))
            .select("x.src", "x.dst", "x.w"))
     adj = cut(adj, f"louvain-adj-l{level}")
-    memb = cut(k.select("node", F.col("node").alias("c")), f"louvain-m-l{level}-s0")
-    best_q = _q_of(und, memb, gamma, m)
+    nt = cut(k.join(sl, "node", "left").select("node", F.col("node").alias("c"), "k",
+                                               F.coalesce(F.col("sl"), F.lit(0.0)).alias("sl")),
+             f"louvain-nt-l{level}-s0")
+    dec = _decisions(nt, adj, m, g, f"louvain-dec-l{level}-s0")
+    best_q, n_improving = _q_from(dec, m, g, tol)
     moved = False
     frac_bits = 0                       # every improving node may move; halved after a failed sweep
-    g = float(gamma)
     for sweep in range(1, max_sweeps + 1):
-        own = memb.join(k, "node").select(F.col("node").alias("src"), F.col("c").alias("own"), F.col("k"))
-        tot = memb.join(k, "node").groupBy("c").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("sz"))
-        nb = (adj.join(memb.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-              .groupBy("src", "cd").agg(F.sum("w").alias("kin")))
-        cand = (nb.join(own, "src").join(tot.withColumnRenamed("c", "cd").withColumnRenamed("sz", "szd"), "cd")
-                .withColumn("val", F.col("kin") - g * F.col("k") * F.col("tot") / (2 * m)))
-        own_sz = tot.select(F.col("c").alias("own"), F.col("sz").alias("szo"))
-        # two singletons may merge only towards the smaller label, so a pair
-        # of neighbours cannot swap communities in the same sweep
-        cand = cand.join(own_sz, "own").where(
-            ~((F.col("szo") == 1) & (F.col("szd") == 1) & (F.col("cd") > F.col("own"))))
-        best = cand.groupBy("src").agg(
-            F.max(F.when(F.col("cd") != F.col("own"), F.struct(F.col("val"), (-F.col("cd")).alias("neg")))).alias("b"),
-            F.max(F.when(F.col("cd") == F.col("own"), F.col("kin"))).alias("kin_own"))
-        stay = (own.join(tot.withColumnRenamed("c", "own"), "own")
-                .select("src", "own", "k", "tot"))
-        dec = best.join(stay, "src").withColumn(
-            "stay_val", F.coalesce(F.col("kin_own"), F.lit(0.0)) - g * F.col("k") * (F.col("tot") - F.col("k")) / (2 * m))
-        dec = cut(dec.where(F.col("b").isNotNull() & (F.col("b.val") > F.col("stay_val") + tol))
-                  .select(F.col("src").alias("node"), (-F.col("b.neg")).alias("newc")),
-                  f"louvain-dec-l{level}-s{sweep}")
-        if dec.limit(1).count() == 0:
+        if n_improving == 0:
             break                       # no node can improve: the level has converged
-        moves = dec.where(_eligible("node", level * 1000 + sweep, seed, frac_bits))
-        new_memb = (memb.join(moves, "node", "left")
-                    .select("node", F.coalesce(F.col("newc"), F.col("c")).alias("c")))
-        new_memb = cut(new_memb, f"louvain-m-l{level}-s{sweep}")
-        q_new = _q_of(und, new_memb, gamma, m)
+        moves = (dec.where(F.col("improves") & _eligible("node", level * 1000 + sweep, seed, frac_bits))
+                 .select("node", (-F.col("b.neg")).alias("newc")))
+        new_nt = cut(nt.join(moves, "node", "left")
+                     .select("node", F.coalesce(F.col("newc"), F.col("c")).alias("c"), "k", "sl"),
+                     f"louvain-nt-l{level}-s{sweep}")
+        new_dec = _decisions(new_nt, adj, m, g, f"louvain-dec-l{level}-s{sweep}")
+        q_new, n_new = _q_from(new_dec, m, g, tol)
         if _DEBUG:
             print(f"louvain level={level} sweep={sweep} q={q_new:.6f} best={best_q:.6f} frac=1/{1 << frac_bits} "
                   f"at={time.time():.1f}")
         if q_new > best_q + tol:
-            memb, best_q, moved = new_memb, q_new, True
+            nt, dec, best_q, n_improving, moved = new_nt, new_dec, q_new, n_new, True
             frac_bits = max(0, frac_bits - 1)
         else:
-            frac_bits += 1
+            frac_bits += 1              # retry from the kept decisions with fewer movers
             if frac_bits > 3:
                 break
-    return memb, best_q, moved
+    return nt.select("node", "c"), best_q, moved
 
 
 def louvain(und: DataFrame, resolution: float = 1.0, seed: int = 0, max_sweeps: int = 30,
