@@ -113,15 +113,14 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), tiebreak: Sequen
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("q50"),
         F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75"))
-    out = moments.join(qw, by, "left") if by else _scalar_join(moments, qw)
+    if by:
+        out = moments.join(qw, by, "left")
+    else:
+        out = moments.select("*", *[qw.select(c).scalar().alias(c) for c in ("q25", "q50", "q75")])
     return out.select(*by, F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
                       "q25", "q50", "q75", "max")
 
 
-def _scalar_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two one-row frames on a constant key."""
-    return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k", "left").drop("__k")
-
 
 def distributed_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
                      num_partitions: int | None = None) -> DataFrame:

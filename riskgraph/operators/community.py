@@ -10,12 +10,14 @@ from __future__ import annotations
 import os
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import distributed_rank
-from ..sources.io import cut
+from ..session import shuffle_partitions
+from ..sources.io import cut, cut_bucketed
 
 
 _DEBUG = bool(os.environ.get("RISKGRAPH_DEBUG"))
@@ -128,10 +130,14 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
                F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("w")),
                F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("w").alias("w")))).alias("x"))
            .select("x.src", "x.dst", "x.w"))
-    adj = cut(adj, f"louvain-adj-l{level}")
-    nt = cut(k.join(sl, "node", "left").select("node", F.col("node").alias("c"), "k",
-                                               F.coalesce(F.col("sl"), F.lit(0.0)).alias("sl")),
-             f"louvain-nt-l{level}-s0")
+    # adjacency bucketed by neighbour and membership bucketed by node (same
+    # count): the per-sweep adjacency ⋈ membership join reads both in place,
+    # so the edge-sized table is never shuffled again on this level
+    nb_buckets = shuffle_partitions(und.sparkSession)
+    adj = cut_bucketed(adj, f"louvain-adj-l{level}", "dst", nb_buckets)
+    nt = cut_bucketed(k.join(sl, "node", "left").select("node", F.col("node").alias("c"), "k",
+                                                        F.coalesce(F.col("sl"), F.lit(0.0)).alias("sl")),
+                      f"louvain-nt-l{level}-s0", "node", nb_buckets)
     dec = _decisions(nt, adj, m, g, f"louvain-dec-l{level}-s0")
     best_q, n_improving = _q_from(dec, m, g, tol)
     moved = False
@@ -141,9 +147,9 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
             break                       # no node can improve: the level has converged
         moves = (dec.where(F.col("improves") & _eligible("node", level * 1000 + sweep, seed, frac_bits))
                  .select("node", (-F.col("b.neg")).alias("newc")))
-        new_nt = cut(nt.join(moves, "node", "left")
-                     .select("node", F.coalesce(F.col("newc"), F.col("c")).alias("c"), "k", "sl"),
-                     f"louvain-nt-l{level}-s{sweep}")
+        new_nt = cut_bucketed(nt.join(moves, "node", "left")
+                              .select("node", F.coalesce(F.col("newc"), F.col("c")).alias("c"), "k", "sl"),
+                              f"louvain-nt-l{level}-s{sweep}", "node", nb_buckets, repartition=False)
         new_dec = _decisions(new_nt, adj, m, g, f"louvain-dec-l{level}-s{sweep}")
         q_new, n_new = _q_from(new_dec, m, g, tol)
         if _DEBUG:
@@ -226,15 +232,25 @@ def connected_components(und: DataFrame, max_iter: int = 100) -> DataFrame:
 
 
 def resolution_study(und: DataFrame, gammas: Sequence[float] = tuple(i / 10 for i in range(11)),
-                     seed: int = 0, **kw) -> DataFrame:
+                     seed: int = 0, parallel: int = 4, **kw) -> DataFrame:
     """for each γ, Louvain at γ and Q at γ = 1 of that partition → long
-    table (nodo, gamma, comunidad, modularidad)."""
-    parts = []
-    for gmm in gammas:
+    table (nodo, gamma, comunidad, modularidad).
+
+    The runs are independent, so up to ``parallel`` of them are submitted at
+    once from driver threads: each sweep is a chain of short stages, and
+    concurrent runs fill the executors between them. Each run writes its own
+    tables; the driver holds only scalars."""
+    und = cut(und.select("u", "v", "w"), "study-und")
+    m = und.select(F.sum("w")).first()[0]
+
+    def one(gmm: float) -> DataFrame:
         mb = louvain(und, resolution=gmm, seed=seed, **kw)
-        q1 = modularity(und, mb, 1.0, node="nodo", community="comunidad").first()["modularidad"]
-        parts.append(cut(mb.select("nodo", F.lit(float(gmm)).alias("gamma"), "comunidad",
-                                   F.lit(q1).alias("modularidad")), f"study-{gmm}"))
+        q1 = modularity(und, mb, 1.0, node="nodo", community="comunidad", m=m).first()["modularidad"]
+        return cut(mb.select("nodo", F.lit(float(gmm)).alias("gamma"), "comunidad",
+                             F.lit(q1).alias("modularidad")), f"study-{gmm}")
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        parts = list(pool.map(one, [float(g) for g in gammas]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -28,7 +28,9 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), stat:
     if by:
         j = base.join(stats, by)
     else:
-        j = base.withColumn("__k", F.lit(1)).join(F.broadcast(stats.withColumn("__k", F.lit(1))), "__k")
+        # one global row: attach it as scalar subqueries (evaluated once)
+        j = base.select("__x", stats.select("__mn").scalar().alias("__mn"),
+                        stats.select("__mx").scalar().alias("__mx"), stats.select("__n").scalar().alias("__n"))
     b = F.when(F.col("__mx") == F.col("__mn"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("__x") - F.col("__mn")) * bins / (F.col("__mx") - F.col("__mn"))), F.lit(bins - 1)))
     counts = j.groupBy(*by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -57,7 +59,7 @@ def kde(df: DataFrame, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame
                                      F.min(x).alias("mn"), F.max(x).alias("mx"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     st = st.withColumn("lo", F.col("mn") - cut * F.col("h")).withColumn("hi", F.col("mx") + cut * F.col("h"))
-    j = vals.withColumn("__k", F.lit(1)).join(F.broadcast(st.withColumn("__k", F.lit(1))), "__k")
+    j = vals.select("__x", "__w", *[st.select(c).scalar().alias(c) for c in ("n", "h", "lo", "hi")])
     step = (F.col("hi") - F.col("lo")) / (grid - 1)
     pts = j.select("__x", "__w", "n", "h", "lo", "hi",
                    F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))

@@ -472,9 +472,7 @@ O.cte("top5_long", " union all ".join(
 
 
 @q("community_describe", O.build(
-    _describe_sql("top5_long", "value", ["comunidad", '"column"'], "value is not null")
-    .replace('select comunidad, "column", count', 'select comunidad, "column" as "column", count'),
-    ["top5_long"]))
+    _describe_sql("top5_long", "value", ["comunidad", '"column"'], "value is not null"), ["top5_long"]))
 def q_community_describe(spark, d):
     return _describe_cols(report.community_describe(_top5_rows(spark, d)), ["comunidad", "column"])
 
@@ -511,16 +509,13 @@ def _hist_cols(df, by=(), density=False):
     return df.select(*cols)
 
 
-def _nested(sql_with: str, inner: str, needs) -> str:
+def _nested(inner: str, needs) -> str:
     """Prefix the CTEs ``needs`` to a query that has its own WITH."""
     head = O.build("select 1", needs)
     return head[:-len("select 1")].rstrip() + ",\n" + inner[len("with "):]
 
 
-@q("community_hist", _nested("", _hist_sql("top5_rows", "score", 10, ["comunidad"]).replace(
-    "c as (select comunidad, cast(bin as integer) as bin, count(*) as count from binned group by comunidad, bin)",
-    "c as (select comunidad, cast(bin as integer) as bin, count(*) as count from binned group by comunidad, bin)"),
-    ["top5_rows"]))
+@q("community_hist", _nested(_hist_sql("top5_rows", "score", 10, ["comunidad"]), ["top5_rows"]))
 def q_community_hist_total(spark, d):
     h = profile.histogram(_top5_rows(spark, d), "score", 10, by=["comunidad"])
     return _hist_cols(h, ["comunidad"])
@@ -536,13 +531,13 @@ def q_community_hist_stacked(spark, d):
 
 
 # ================================================================ distributions
-@q("hist_vat", _nested("", _hist_sql("arcs", "Monto_IVA", 30, [], "Monto_IVA > 0 and Monto_IVA < 1e6"), ["arcs"]))
+@q("hist_vat", _nested(_hist_sql("arcs", "Monto_IVA", 30, [], "Monto_IVA > 0 and Monto_IVA < 1e6"), ["arcs"]))
 def q_hist_vat(spark, d):
     a = Inputs(spark, d).arcs().where((F.col("Monto_IVA") > 0) & (F.col("Monto_IVA") < 1e6))
     return _hist_cols(profile.histogram(a, "Monto_IVA", 30))
 
 
-@q("hist_score", _nested("", _hist_sql("combined_s15", "score", 10, [], "score > 0.1"), ["combined_s15"]))
+@q("hist_score", _nested(_hist_sql("combined_s15", "score", 10, [], "score > 0.1"), ["combined_s15"]))
 def q_hist_score(spark, d):
     st = run_scenario(spark, d, "combined", 15).state.where(F.col("score") > 0.1)
     return _hist_cols(profile.histogram(st, "score", 10))
@@ -556,13 +551,13 @@ def _new_comb(spark, d):
     return propagate.new_scores(run_scenario(spark, d, "combined", 15).state, Inputs(spark, d).seeds())
 
 
-@q("hist_density", _nested("", _hist_sql("new_comb", "score", 100, [], "score > 0", density=True), ["new_comb"]))
+@q("hist_density", _nested(_hist_sql("new_comb", "score", 100, [], "score > 0", density=True), ["new_comb"]))
 def q_hist_density(spark, d):
     return _hist_cols(profile.histogram(_new_comb(spark, d).where(F.col("score") > 0), "score", 100,
                                         stat="density"), density=True)
 
 
-@q("hist_density_high", _nested("", _hist_sql("new_comb", "score", 100, [], "score >= 0.5", density=True),
+@q("hist_density_high", _nested(_hist_sql("new_comb", "score", 100, [], "score >= 0.5", density=True),
                                 ["new_comb"]))
 def q_hist_density_high(spark, d):
     return _hist_cols(profile.histogram(_new_comb(spark, d).where(F.col("score") >= 0.5), "score", 100,

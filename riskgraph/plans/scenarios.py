@@ -90,10 +90,17 @@ def run_scenario(spark: SparkSession, sf_dir: str, scenario: str = "combined",
                                  rounds_run=k)
 
 
-def clear_memo() -> None:
+def clear_memo(spark: SparkSession | None = None) -> None:
+    """Forget memoised results; with ``spark``, also drop the catalog
+    entries of the bucketed round tables."""
     for _, res in _MEMO.values():
         res.graph.unpersist()
     _MEMO.clear()
+    for d in (_LABELLED, _LOUVAIN, _STUDY):
+        d.clear()
+    if spark is not None:
+        from ..sources.io import drop_cut_tables
+        drop_cut_tables(spark)
 
 
 _LABELLED: dict[tuple, DataFrame] = {}
@@ -152,3 +159,35 @@ def resolution_study(spark: SparkSession, sf_dir: str, gammas=GAMMAS, seed: int
         und = community.to_undirected(Inputs(spark, sf_dir).force_combined())
         _STUDY[key] = cut(community.resolution_study(und, gammas, seed=seed), "resolution-study")
     return _STUDY[key]
+
+
+def write_outputs(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int = propagate.DEFAULT_ROUNDS,
+                  communities: str = "louvain", resolution: float = 0.5) -> dict[str, str]:
+    """Run the combined scenario end to end and write what the analysts
+    use (A5/A6): forces and labelled nodes as Parquet; total and new scores,
+    labelled nodes and the node/edge export tables as CSV with a header.
+    All writes are done by the executors. ``communities``: 'louvain' or
+    'fixed'. Returns the written paths."""
+    from ..operators import export
+    from ..sources import io
+
+    out = out_dir.rstrip("/")
+    inp = Inputs(spark, sf_dir)
+    res = run_scenario(spark, sf_dir, "combined", rounds)
+    mb = (louvain_membership(spark, sf_dir, resolution).select("nodo", "comunidad")
+          if communities == "louvain" else None)
+    lab = labelled_nodes(spark, sf_dir, rounds, membership=mb)
+    paths = {
+        "forces": f"{out}/fuerza_iva_representante", "total": f"{out}/contaminados_total",
+        "new": f"{out}/contaminados_nuevos", "labelled": f"{out}/contaminados_labels",
+        "labelled_csv": f"{out}/contaminados_labels_csv", "nodes": f"{out}/export_nodos",
+        "edges": f"{out}/export_arcos",
+    }
+    io.write_parquet(inp.force_combined(), paths["forces"])
+    io.write_csv(propagate.total_scores(res.state), paths["total"])
+    io.write_csv(propagate.new_scores(res.state, inp.seeds()), paths["new"])
+    io.write_parquet(lab, paths["labelled"])
+    io.write_csv(lab, paths["labelled_csv"])
+    io.write_csv(export.export_nodes(lab), paths["nodes"])
+    io.write_csv(export.export_edges(spark.read.parquet(paths["forces"]), lab), paths["edges"])
+    return paths

@@ -99,6 +99,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_CUT_TABLES: list[str] = []
+
+
 def cut_bucketed(df: DataFrame, name: str, key: str, buckets: int, repartition: bool = True) -> DataFrame:
     """Like :func:`cut`, but written as an external table bucketed by ``key``
     into ``buckets`` files. A later join on ``key`` with another table of the
@@ -114,5 +117,17 @@ def cut_bucketed(df: DataFrame, name: str, key: str, buckets: int, repartition:
     out = df.repartition(buckets, key) if repartition else df
     (out.write.mode("overwrite").format("parquet")
         .bucketBy(buckets, key).option("path", path).saveAsTable(table))
+    _CUT_TABLES.append(table)
     return spark.table(table)
 
+
+def drop_cut_tables(spark: SparkSession) -> int:
+    """Drop the catalog entries made by :func:`cut_bucketed` in this process
+    (external tables: the files stay in the checkpoint folder, whose lifetime
+    the cluster manages). Call when the results are no longer needed."""
+    n = 0
+    while _CUT_TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_CUT_TABLES.pop()}")
+        n += 1
+    return n
+

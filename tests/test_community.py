@@ -72,3 +72,18 @@ def test_louvain_invariants_on_test_tables(spark):
     assert rows[0].q_gamma == pytest.approx(q, abs=1e-12)                     # reported Q is the partition's Q
     singles = spark.createDataFrame([(n, n) for n in nodes], "nodo long, comunidad long")
     assert q >= C.modularity(und, singles, 0.5, node="nodo").first().modularidad
+
+
+def test_resolution_study_and_wide_table(spark):
+    und = C.to_undirected(edges_df(spark, TWO_TRIANGLES))
+    long = C.resolution_study(und, gammas=(0.0, 1.0), seed=0, parallel=2)
+    rows = {(r.nodo, r.gamma): r for r in long.collect()}
+    assert len(rows) == 12
+    assert len({rows[(n, 0.0)].comunidad for n in range(1, 7)}) == 1              # γ = 0: one component
+    assert len({rows[(n, 1.0)].comunidad for n in range(1, 7)}) == 2              # γ = 1: two triangles
+    assert rows[(1, 1.0)].modularidad == pytest.approx(0.357142857, abs=1e-9)     # Q at γ = 1 in both
+    assert rows[(1, 0.0)].modularidad == pytest.approx(0.0, abs=1e-12)
+    lab = spark.createDataFrame([(n, 0.1 * n) for n in range(1, 7)] * 2, "cont_rut long, score double")
+    wide = C.study_table(lab, long, (0.0, 1.0))
+    assert wide.count() == 6                                                      # exact duplicates removed
+    assert {"comunidad_0.0", "modularidad_0.0", "comunidad_1.0", "modularidad_1.0"} <= set(wide.columns)

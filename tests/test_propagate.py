@@ -96,3 +96,17 @@ def test_states_never_decrease(spark):
             assert all(cur[k] >= prev[k] - 1e-15 for k in prev)
         prev = cur
     assert len(res.states) == 6
+
+
+def test_force_invariants_on_test_tables(spark):
+    from pyspark.sql import functions as F
+    from riskgraph.plans.scenarios import Inputs
+    inp = Inputs(spark, "/root/testdata/sf0.001")
+    # VAT shares of a receiver sum to 1 up to the 4-decimal rounding of each share
+    vat = inp.force_vat().groupBy("receptor").agg(F.sum("Fi").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert vat and all(abs(r.s - 1) <= r.n * 5e-5 + 1e-12 for r in vat)
+    # Σ f over a receiver ≤ 1 − f0 + n·5e-5 / sFi  (t is rounded before dividing)
+    p = P.prepare_edges(inp.force_combined())
+    agg = p.groupBy("receptor").agg(F.sum("f").alias("sf"), F.first("f0").alias("f0"), F.count(F.lit(1)).alias("n"),
+                                    F.sum("Fi").alias("sFi")).collect()
+    assert agg and all(r.sf <= (1 - r.f0) + r.n * 5e-5 / r.sFi + 1e-12 for r in agg)

@@ -54,3 +54,16 @@ def test_seed_stream_is_idempotent(spark):
     assert got == [1, 3, 4]
     batch = sorted(r.cont_rut for r in seeds.seeds_from_alerts(spark.read.parquet(src)).collect())
     assert got == batch
+
+
+def test_write_outputs_end_to_end(spark):
+    from riskgraph.plans.scenarios import write_outputs
+    out = scratch_path(spark, "outputs")
+    paths = write_outputs(spark, "/root/testdata/sf0.001", out, rounds=3, communities="fixed")
+    nodes = io.read_csv(spark, paths["nodes"])
+    lab = spark.read.parquet(paths["labelled"])
+    assert nodes.count() == lab.count() > 0
+    assert set(nodes.columns) == {"cont_rut", "score", "total_pago_f29", "IVA_neto", "unidad_regional",
+                                  "n_documentos", "lifetime", "alerta_inicial", "comunidad"}
+    assert io.read_csv(spark, paths["new"]).count() + spark.read.parquet(paths["labelled"]).where(
+        "alerta_inicial = 1").count() == io.read_csv(spark, paths["total"]).count()
