@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_partitions
+
 
 def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -59,8 +61,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     task ranks its own rows; per-(partition, group) counts give the offsets
     that turn local ranks into group ranks; only the rows sitting on the
     wanted ranks are kept. Output: ``by`` columns, ``p`` and ``q``."""
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n_parts = num_partitions or work_partitions(df.sparkSession)
     by = list(by)
     hash_cols = list(tiebreak) or [c for c in df.columns]
     keyed = (df.where(F.col(value).isNotNull())
@@ -128,8 +129,7 @@ def distributed_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     window: rows are range-partitioned on ``order``, numbered inside their
     partition, and shifted by the row counts of the partitions before them
     (a table of one row per partition). ``order`` must be a total order."""
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n_parts = num_partitions or work_partitions(df.sparkSession)
     rp = df.repartitionByRange(n_parts, *order).withColumn("__pid", F.spark_partition_id())
     cnt = rp.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     off = cnt.select("__pid", F.coalesce(F.sum("__c").over(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import distributed_rank
-from ..session import shuffle_partitions
+from ..session import bucket_count
 from ..sources.io import cut, cut_bucketed
 
 
@@ -133,7 +133,7 @@ def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
     # adjacency bucketed by neighbour and membership bucketed by node (same
     # count): the per-sweep adjacency ⋈ membership join reads both in place,
     # so the edge-sized table is never shuffled again on this level
-    nb_buckets = shuffle_partitions(und.sparkSession)
+    nb_buckets = bucket_count(und.sparkSession, 2 * und.count())
     adj = cut_bucketed(adj, f"louvain-adj-l{level}", "dst", nb_buckets)
     nt = cut_bucketed(k.join(sl, "node", "left").select("node", F.col("node").alias("c"), "k",
                                                         F.coalesce(F.col("sl"), F.lit(0.0)).alias("sl")),

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import product_skipping_unit_weights
-from ..session import shuffle_partitions
+from ..session import bucket_count
 from ..sources.io import cut, cut_bucketed
 
 DEFAULT_ROUNDS = 15
@@ -94,12 +94,12 @@ class StepGraph:
 def build_step_graph(prepared: DataFrame, min_hot_degree: int = 100_000, max_hot_keys: int = 10_000,
                      num_partitions: int | None = None) -> StepGraph:
     spark = prepared.sparkSession
-    n_parts = num_partitions or shuffle_partitions(spark)
     # written once: the counts, the degree check and the layout below all
     # read this table instead of recomputing the forces
     prepared = cut(prepared.select("emisor", "receptor", "f0", "f"), "prepared-edges")
     real = prepared.select("emisor", "receptor", F.col("f").alias("w"))
     n_edges = real.count()
+    n_parts = num_partitions or bucket_count(spark, n_edges)
     threshold = max(int(min_hot_degree), math.ceil(n_edges / max(1, max_hot_keys)))
     # Σ out-degree = |E|, so fewer than max_hot_keys issuers can pass it.
     hot_ids = (real.groupBy("emisor").agg(F.count(F.lit(1)).alias("deg"))
