@@ -178,10 +178,10 @@ def write_outputs(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int =
           if communities == "louvain" else None)
     lab = labelled_nodes(spark, sf_dir, rounds, membership=mb)
     paths = {
-        "forces": f"{out}/fuerza_iva_representante", "total": f"{out}/contaminados_total",
-        "new": f"{out}/contaminados_nuevos", "labelled": f"{out}/contaminados_labels",
-        "labelled_csv": f"{out}/contaminados_labels_csv", "nodes": f"{out}/export_nodos",
-        "edges": f"{out}/export_arcos",
+        "forces": f"{out}/forces_combined", "total": f"{out}/scores_total",
+        "new": f"{out}/scores_new", "labelled": f"{out}/labelled_nodes",
+        "labelled_csv": f"{out}/labelled_nodes_csv", "nodes": f"{out}/export_nodes",
+        "edges": f"{out}/export_edges",
     }
     io.write_parquet(inp.force_combined(), paths["forces"])
     io.write_csv(propagate.total_scores(res.state), paths["total"])
