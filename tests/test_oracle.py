@@ -39,9 +39,17 @@ def duck():
     return con
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(set(E.oracle_sql())))
 def test_query_matches_oracle(spark, duck, name):
-    sp = E.queries()[name](spark, SF).toPandas()
+    df = E.queries()[name](spark, SF)
+    plan = _plan(df)
+    # no pair generation anywhere: no cartesian product, no nested-loop join
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
+    sp = df.toPandas()
     dk = duck.execute(E.oracle_sql()[name]).df()
     c1, r1 = _rows(sp)
     c2, r2 = _rows(dk)
