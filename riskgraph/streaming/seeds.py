@@ -32,15 +32,13 @@ def _table_exists(spark, path: str) -> bool:
         return False
 
 
-def merge_seed_batch(batch: DataFrame, table_path: str) -> int:
-    """Append the seeds of one batch of alerts that are not in the table yet;
-    returns nothing useful to Spark, the count is for logging/tests."""
+def merge_seed_batch(batch: DataFrame, table_path: str) -> None:
+    """Append the seeds of one batch of alerts that are not in the table yet."""
     spark = batch.sparkSession
     new = seeds_from_alerts(batch)
     if _table_exists(spark, table_path):
         new = new.join(spark.read.parquet(table_path).select("cont_rut"), "cont_rut", "left_anti")
     new.write.mode("append").parquet(table_path)
-    return 0
 
 
 def seed_stream(spark, alerts_dir: str, alert_schema: StructType | str, table_path: str,
