@@ -253,14 +253,19 @@ def q_graph_counts(spark, d):
     e = inp.force_combined()
     sd = inp.seeds().select("cont_rut")
     st = run_scenario(spark, d, "combined", rounds=15).state
-    return (e.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("emisor").alias("n_issuers"),
-                  F.count_distinct("receptor").alias("n_receivers"),
+
+    def n(df):
+        return df.select(F.count(F.lit(1))).scalar()
+
+    # each distinct count is its own partial aggregate (no Expand of the edges)
+    return (e.agg(F.count(F.lit(1)).alias("n_edges"),
                   F.count_if(F.col("emisor") == F.col("receptor")).alias("n_self_loops"))
-            .select("n_edges", propagate.node_universe(e).select(F.count(F.lit(1))).scalar().alias("n_nodes"),
-                    "n_issuers", "n_receivers", "n_self_loops",
-                    sd.select(F.count(F.lit(1))).scalar().alias("n_seeds"),
-                    st.join(sd, "cont_rut", "left_semi").select(F.count(F.lit(1))).scalar().alias("n_seed_nodes"),
-                    st.join(sd, "cont_rut", "left_anti").select(F.count(F.lit(1))).scalar().alias("n_new")))
+            .select("n_edges", n(propagate.node_universe(e)).alias("n_nodes"),
+                    n(e.select("emisor").distinct()).alias("n_issuers"),
+                    n(e.select("receptor").distinct()).alias("n_receivers"),
+                    "n_self_loops", n(sd).alias("n_seeds"),
+                    n(st.join(sd, "cont_rut", "left_semi")).alias("n_seed_nodes"),
+                    n(st.join(sd, "cont_rut", "left_anti")).alias("n_new")))
 
 
 # ====================================================================== labels
