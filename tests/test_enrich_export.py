@@ -1,6 +1,5 @@
 import datetime as dt
 
-import pytest
 
 from riskgraph.operators import enrich, export, graphops
 
