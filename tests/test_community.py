@@ -87,3 +87,21 @@ def test_resolution_study_and_wide_table(spark):
     wide = C.study_table(lab, long, (0.0, 1.0))
     assert wide.count() == 6                                                      # exact duplicates removed
     assert {"comunidad_0.0", "modularidad_0.0", "comunidad_1.0", "modularidad_1.0"} <= set(wide.columns)
+
+
+def test_louvain_ring_of_cliques(spark):
+    cliques, size = 5, 6
+    rows = []
+    for c in range(cliques):
+        base = c * size
+        rows += [(base + i, base + j, 1.0) for i in range(size) for j in range(i + 1, size)]
+        rows.append((base + size - 1, ((c + 1) % cliques) * size, 1.0))          # ring edge to the next clique
+    und = C.to_undirected(edges_df(spark, rows))
+    mb = C.louvain(und, resolution=1.0, seed=3)
+    groups = {}
+    for r in mb.collect():
+        groups.setdefault(r.comunidad, set()).add(r.nodo)
+    assert sorted(map(min, groups.values())) == [c * size for c in range(cliques)]
+    assert all(len(g) == size for g in groups.values())
+    q = C.modularity(und, mb, 1.0, node="nodo").first().modularidad
+    assert q == pytest.approx(5 * (15 / 80 - (32 / 160) ** 2), abs=1e-9)
