@@ -110,3 +110,15 @@ def test_force_invariants_on_test_tables(spark):
     agg = p.groupBy("receptor").agg(F.sum("f").alias("sf"), F.first("f0").alias("f0"), F.count(F.lit(1)).alias("n"),
                                     F.sum("Fi").alias("sFi")).collect()
     assert agg and all(r.sf <= (1 - r.f0) + r.n * 5e-5 / r.sFi + 1e-12 for r in agg)
+
+
+def test_hot_path_on_test_tables(spark):
+    from riskgraph.plans.scenarios import Inputs
+    inp = Inputs(spark, "/root/testdata/sf0.001")
+    e, sd = inp.force_combined(), inp.seeds()
+    normal = P.propagate(e, sd, rounds=3)
+    # every issuer with more than 50 edges takes the broadcast path
+    hot = P.propagate(e, sd, rounds=3, min_hot_degree=50, max_hot_keys=1000)
+    assert hot.graph.hot is not None
+    a, b = scores(normal, 3), scores(hot, 3)
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
