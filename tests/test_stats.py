@@ -56,3 +56,20 @@ def test_mode_tie_and_profile(spark):
     assert (p.most_common_region, p.most_common_count, p.group_size, p.alertas_iniciales) == ("X", 1, 4, 2)
     assert p.perc_alertas == pytest.approx(50.0)
     assert report.min_size(df, 5).count() == 0 and report.min_size(df, 4).count() == 4
+
+
+def test_bounded_broadcast_falls_back_above_limit(spark):
+    from riskgraph.functions.expr import bounded_broadcast
+    small = spark.range(0, 10).withColumnRenamed("id", "k")
+    big = spark.range(0, 1000).withColumnRenamed("id", "k")
+    fact = spark.range(0, 5000).select((F.col("id") % 1000).alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        with_hint = fact.join(bounded_broadcast(small, 100), "k")._jdf.queryExecution().executedPlan().toString()
+        without = fact.join(bounded_broadcast(big, 100), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in with_hint
+    assert "BroadcastHashJoin" not in without and "SortMergeJoin" in without
