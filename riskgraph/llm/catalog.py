@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, sharding, tokens, warc
+from . import jaccard, mixing, quality, secrets, sharding, tokens, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_secrets": secrets.op3_secrets,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op9_tokens": tokens.op9_tokens,
     "op10_warc": warc.op10_warc,
 }
