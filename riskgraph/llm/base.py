@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         col = batch.column(batch.schema.get_field_index(text))
         if not pa.types.is_binary(col.type) and not pa.types.is_large_binary(col.type):
             col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
-        sizes = np.asarray(pa.compute.binary_length(col).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(col).fill_null(0), dtype=np.int64)
         at = 0
         while at < len(sizes):
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), limit, side="right")))
