@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, quality, secrets, sharding, tokens, warc
+from . import jaccard, mixing, quality, secrets, sharding, suffix, tokens, warc
 
 QUERIES = {
+    "op1_suffix": suffix.op1_suffix,
     "op2_sharding": sharding.op2_sharding,
     "op3_secrets": secrets.op3_secrets,
     "op4_mixing": mixing.op4_mixing,
