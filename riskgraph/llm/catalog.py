@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, quality, secrets, sharding, suffix, tokens, warc
+from . import decontaminate, jaccard, mixing, quality, scoring, secrets, sharding, suffix, tokens, warc
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_scoring": scoring.op7_scoring,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_tokens": tokens.op9_tokens,
     "op10_warc": warc.op10_warc,
