@@ -386,6 +386,24 @@ def _family_links(sets: DataFrame) -> DataFrame:
 
 # ---- the join ---------------------------------------------------------------------------------------------------
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, key, component) of each row of ``docs`` (doc_id, text): size of its set, key of its word sequence,
+    least key of its component."""
+    first = cut(_entities(docs), "jaccard-first")
+    rows = first.where("frequent is null").select("doc_id", "key", "n")
+    buckets = min(1 << 16, max(1, math.ceil((rows.agg(F.sum("n")).first()[0] or 0) / BUCKET_TOKENS)))
+    sets = cut(_shared_sets(docs, _frequent(first), buckets), "jaccard-sets")
+    links = cut(_family_links(sets), "jaccard-links")
+    comp = cut(components(links), "jaccard-components")
+    # rows of one component may be a third of the table: every join is of written tables, whose keys Spark can split
+    return cut(rows.join(comp, F.col("key") == F.col("node"), "left").select(
+        "doc_id", "n", "key", F.coalesce("component", "key").alias("component")), "jaccard-rows")
+
+
+def _narrow(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -393,21 +411,33 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     whole sequence is the one shingle. Repeated rows link with each other; a null id is no one's smallest id and its
     component has null only if it has no other id. Ties cannot arise. Other columns are not read. An empty table
     gives an empty result."""
-    narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    first = cut(_entities(narrow), "jaccard-first")
-    rows = first.where("frequent is null").select("doc_id", "key", "n")
-    frequent = _frequent(first)
-    buckets = min(1 << 16, max(1, math.ceil((rows.agg(F.sum("n")).first()[0] or 0) / BUCKET_TOKENS)))
-    sets = cut(_shared_sets(narrow, frequent, buckets), "jaccard-sets")
-    links = cut(_family_links(sets), "jaccard-links")
-    comp = cut(components(links), "jaccard-components")
-    # rows of one component may be a third of the table: every join is of written tables, whose keys Spark can split
-    rows = cut(rows.join(comp, F.col("key") == F.col("node"), "left").select(
-        "doc_id", "n", F.coalesce("component", "key").alias("component")), "jaccard-rows")
+    rows = _labelled(_narrow(docs, text, doc_id))
     least = cut(rows.groupBy("component").agg(F.min("doc_id").alias("least")), "jaccard-least")
     return rows.join(least, "component").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) without near duplicates: of each component the row with the
+    smallest id (not null if there is another) stays, with the columns of ``docs``. Texts without words are linked
+    with nothing and stay. Rows that agree in id and words are one document, of which one row stays."""
+    rows = _labelled(_narrow(docs, "text", "doc_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    kept = cut(rows.where("n > 0").groupBy("component").agg(F.min(first).alias("s")).select("s.doc_id", "s.key")
+               .union(rows.where("n = 0").select("doc_id", "key").distinct())
+               .select(F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key")), "jaccard-kept")
+    keyed = docs.schema.add("__key", "long")
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            keys = pa.array(_signed([xxhash.xxh3_64_intdigest(b" ".join(lower_ascii(t).split())) for t in texts]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
+
+    joined = docs.mapInArrow(with_key, keyed).join(
+        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__key") == F.col("__kept_key")))
+    one = Window.partitionBy("__kept_id", "__kept_key").orderBy("text")
+    return joined.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*[F.col(c) for c in docs.columns])
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
