@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.components import components
 from ..sources.io import cut
@@ -426,7 +427,7 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     kept = cut(rows.where("n > 0").groupBy("component").agg(F.min(first).alias("s")).select("s.doc_id", "s.key")
                .union(rows.where("n = 0").select("doc_id", "key").distinct())
                .select(F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key")), "jaccard-kept")
-    keyed = docs.schema.add("__key", "long")
+    keyed = StructType([*docs.schema.fields, StructField("__key", LongType())])
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):

@@ -40,11 +40,11 @@ from .base import slices, table, total
 LENGTH, K = 100, 32
 W = LENGTH - K + 1
 #: Bytes hashed at once, bytes whose runs are sorted at once, average bytes of text behind a bucket of runs.
-PIECE, BATCH, BUCKET = 1 << 20, 16 << 20, 8 << 20
+PIECE, BATCH, BUCKET = 1 << 20, 8 << 20, 8 << 20
 #: Texts of one minimizer above which its windows are scattered.
 HOT = 20_000
 #: Bytes of run text in a task of step 3, on average.
-FETCH = 4 << 20
+FETCH = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -193,7 +193,7 @@ def _met(docs: DataFrame, buckets: int) -> DataFrame:
                      for o in (range(0, max(1, len(t) - LENGTH + 1), PIECE) if len(t) >= LENGTH else ())]
             while parts:  # one long text makes several pieces
                 some, n = [], 0
-                while parts and (not some or n + len(parts[0][0]) <= 4 * PIECE):
+                while parts and (not some or n + len(parts[0][0]) <= PIECE + LENGTH):
                     n += len(parts[0][0])
                     some.append(parts.pop(0))
                 at = np.array([i for _, i, _ in some])
