@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import work_partitions
+from ..sources.io import cut
 
 
 def col_(c: Column | str) -> Column:
@@ -51,23 +51,32 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(col_(c) + F.lit(ROUND_NUDGE), digits)
 
 
+def _placed(df: DataFrame, order: Sequence, num_partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned on ``order`` and written once, with the number
+    of each row's partition as ``__pid``. Counts and ranks must both come from
+    this table: a second range exchange would sample other bounds."""
+    n = [num_partitions] if num_partitions else []
+    return cut(df.repartitionByRange(*n, *order).withColumn("__pid", F.spark_partition_id()), "placed")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                     tiebreak: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles (pandas ``describe``, DuckDB
     ``quantile_cont``), computed without gathering a group in one task.
 
     Rows are range-partitioned on (group, value, row hash), so equal values –
-    even a group holding a third of all rows – spread over many tasks. Each
-    task ranks its own rows; per-(partition, group) counts give the offsets
-    that turn local ranks into group ranks; only the rows sitting on the
-    wanted ranks are kept. Output: ``by`` columns, ``p`` and ``q``."""
-    n_parts = num_partitions or work_partitions(df.sparkSession)
+    even a group holding a third of all rows – spread over many tasks, and
+    written once with their partition's number. Each task ranks the rows of
+    one partition; per-(partition, group) counts from the same written table
+    give the offsets that turn local ranks into group ranks; only the rows
+    sitting on the wanted ranks are kept. A null group is a group of its own.
+    Output: ``by`` columns, ``p`` and ``q``."""
     by = list(by)
     hash_cols = list(tiebreak) or [c for c in df.columns]
     keyed = (df.where(F.col(value).isNotNull())
              .select(*by, F.col(value).cast("double").alias("__v"),
                      F.xxhash64(*[F.col(c) for c in hash_cols]).alias("__t")))
-    rp = keyed.repartitionByRange(n_parts, *by, "__v", "__t").withColumn("__pid", F.spark_partition_id())
+    rp = _placed(keyed, [*by, "__v", "__t"], num_partitions)
 
     cnt = rp.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__c"))
     wgrp = Window.partitionBy(*by) if by else Window.partitionBy()
@@ -91,7 +100,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
             .drop("__c"))
     ranked = rp.withColumn("__r", F.row_number().over(
         Window.partitionBy("__pid", *by).orderBy("__v", "__t")) - 1)
-    hits = ranked.join(ends, ["__pid", *by, "__r"]).select(*by, "p", "__pos", "__lo", "__e", "__v")
+    # a null group is a group
+    ends = ends.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], "p", "__pos", "__lo", "__e",
+                       F.col("__pid").alias("__ep"), F.col("__r").alias("__er"))
+    hits = (ranked.join(ends, [F.col("__pid") == F.col("__ep"), F.col("__r") == F.col("__er"),
+                               *[F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]])
+            .select(*by, "p", "__pos", "__lo", "__e", "__v"))
     agg = hits.groupBy(*by, "p").agg(
         F.first("__pos").alias("__pos"), F.first("__lo").alias("__lo"),
         F.max(F.when(F.col("__e") == 0, F.col("__v"))).alias("__vlo"),
@@ -115,22 +129,22 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), tiebreak: Sequen
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("q50"),
         F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75"))
     if by:
-        out = moments.join(qw, by, "left")
+        qw = qw.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], "q25", "q50", "q75")
+        out = moments.join(qw, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)], "left")
     else:
         out = moments.select("*", *[qw.select(c).scalar().alias(c) for c in ("q25", "q50", "q75")])
     return out.select(*by, F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
                       "q25", "q50", "q75", "max")
 
 
-
 def distributed_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
                      num_partitions: int | None = None) -> DataFrame:
     """Exact 1-based ``row_number`` over a global order without a global
-    window: rows are range-partitioned on ``order``, numbered inside their
-    partition, and shifted by the row counts of the partitions before them
-    (a table of one row per partition). ``order`` must be a total order."""
-    n_parts = num_partitions or work_partitions(df.sparkSession)
-    rp = df.repartitionByRange(n_parts, *order).withColumn("__pid", F.spark_partition_id())
+    window: rows are range-partitioned on ``order``, written once with their
+    partition's number, numbered inside their partition, and shifted by the
+    row counts of the partitions before them (a table of one row per
+    partition, from the same written rows). ``order`` must be a total order."""
+    rp = _placed(df, order, num_partitions)
     cnt = rp.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     off = cnt.select("__pid", F.coalesce(F.sum("__c").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import distributed_rank
 from ..session import bucket_count
 from ..sources.io import cut, cut_bucketed
+from .components import components
 
 
 _DEBUG = bool(os.environ.get("RISKGRAPH_DEBUG"))
@@ -208,27 +209,11 @@ def louvain(und: DataFrame, resolution: float = 1.0, seed: int = 0, max_sweeps:
                     F.lit(q_final).alias("q_gamma")))
 
 
-def connected_components(und: DataFrame, max_iter: int = 100) -> DataFrame:
-    """γ = 0 limit of Louvain: every component is one community. Min-label
-    propagation over the edge table, cut every iteration → (node, c)."""
-    adj = (und.where(F.col("u") != F.col("v"))
-           .select(F.explode(F.array(
-               F.struct(F.col("u").alias("src"), F.col("v").alias("dst")),
-               F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("x"))
-           .select("x.src", "x.dst"))
-    adj = cut(adj, "cc-adj")
-    lab = cut(degrees(und).select("node", F.col("node").alias("c")), "cc-0")
-    for it in range(1, max_iter + 1):
-        prop = adj.join(lab.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")) \
-                  .agg(F.min("c").alias("nc"))
-        new = (lab.join(prop, "node", "left")
-               .select("node", F.least(F.col("c"), F.coalesce(F.col("nc"), F.col("c"))).alias("c")))
-        new = cut(new, f"cc-{it}")
-        changed = new.join(lab.withColumnRenamed("c", "old"), "node").where(F.col("c") != F.col("old")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
-    return lab
+def connected_components(und: DataFrame) -> DataFrame:
+    """γ = 0 limit of Louvain: every component is one community, named by its
+    smallest node → (node, c). Runs until nothing changes, in rounds that grow
+    with the logarithm of the longest path (see operators/components.py)."""
+    return components(und).select("node", F.col("component").alias("c"))
 
 
 def resolution_study(und: DataFrame, gammas: Sequence[float] = tuple(i / 10 for i in range(11)),

@@ -4,7 +4,6 @@ shared folder used to cut lineage."""
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 import uuid
 
@@ -50,6 +49,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="riskgraph-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -73,23 +74,6 @@ ROWS_PER_BUCKET = 2_000_000
 def bucket_count(spark: SparkSession, n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Bucket count for a table written to be joined in place, sized from
     its row count (~``rows_per_bucket`` rows, tens of MB, per bucket), at
-    least the cluster's default parallelism so every core has work, and at
-    most the larger of that and the shuffle partitions. 100 TB of invoices
-    gives thousands of buckets; a test table gives one per core."""
-    par = spark.sparkContext.defaultParallelism
-    want = math.ceil(max(0, n_rows) / rows_per_bucket)
-    return int(min(max(par, want), max(par, shuffle_partitions(spark))))
-
-
-def work_partitions(spark: SparkSession) -> int:
-    """Partition count for explicit range repartitions whose input size is
-    not known up front: the shuffle setting, but no more than four tasks per
-    core."""
-    return int(min(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    least the cluster's default parallelism so every core has work. 100
+    billion edges get 50,000 buckets; a test table gets one per core."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(max(0, n_rows) / rows_per_bucket))

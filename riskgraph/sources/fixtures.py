@@ -57,8 +57,9 @@ def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("value") >= 250)
-    code = (F.when(F.col("event_type") == "error", "4110")
+    e = table(spark, sf_dir, "events")
+    code = (F.when(F.col("value").isNull() | (F.col("value") < 250), "9999")
+            .when(F.col("event_type") == "error", "4110")
             .when(F.col("event_type") == "purchase", "4111")
             .when(F.col("event_type") == "signup", "4112")
             .when(F.col("event_type") == "click", "4113")
@@ -108,14 +109,14 @@ def tax_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("CONT_RUT"),
-                    (F.col("o_orderkey") % 25).cast("int").alias("UNOP_UNIDAD"),
+                    (F.col("o_orderkey") % 26).cast("int").alias("UNOP_UNIDAD"),
                     F.col("o_orderdate").alias("NEGO_FECHA_VIGENCIA"))
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    return (n.join(r, n.n_regionkey == r.r_regionkey).where(F.col("n_nationkey") < 24)
+    return (n.join(r, n.n_regionkey == r.r_regionkey)
             .select(F.col("n_nationkey").alias("UNOP_UNIDAD"), F.col("r_name").alias("UNOP_DES_REGIONAL")))
 
 
@@ -143,10 +144,10 @@ FIXTURE_SQL: dict[str, str] = {
  from lineitem join orders on l_orderkey=o_orderkey""",
     "arcs": """select dhdr_rut_emisor as PARU_RUT_E0, dhdr_rut_recep as PARU_RUT_E2,
  cast(sum(dhdr_iva) as bigint) as Monto_IVA from dte group by dhdr_rut_emisor, dhdr_rut_recep""",
-    "alerts": """select user_id as cont_rut, case event_type when 'error' then '4110' when 'purchase' then '4111'
- when 'signup' then '4112' when 'click' then '4113' else '9999' end as ALER_COD_TIPO_ALERTA_VO,
+    "alerts": """select user_id as cont_rut, case when value is null or value < 250 then '9999' when event_type = 'error' then '4110'
+ when event_type = 'purchase' then '4111' when event_type = 'signup' then '4112' when event_type = 'click' then '4113' else '9999' end as ALER_COD_TIPO_ALERTA_VO,
  event_type as aler_desc_tipo_alerta_vo, case when event_id % 2 = 0 then ts end as aler_fecha_desactiv_vo
- from events where value >= 250""",
+ from events""",
     "active_alerts": """select ALER_COD_TIPO_ALERTA_VO as ALER_COD_TIPO_ALERTA, cast(cont_rut as varchar) as CONT_RUT_E
  from alerts where aler_fecha_desactiv_vo is null""",
     "reps": """select c_custkey as CONT_RUT, (c_custkey*7+3) % (select count(*) from supplier) as CONT_RUT_REPRESENTANTE,
@@ -158,10 +159,10 @@ FIXTURE_SQL: dict[str, str] = {
     "tax_forms": """select o_custkey as CONT_RUT, cast(floor(o_totalprice) as bigint) as F29_C_89,
  cast(year(o_orderdate)*100+month(o_orderdate) as int) as F29_AGNO_MES_TRIBUTARIO_VO,
  case when o_orderstatus='F' then 1 else 0 end as TIVA_COD_VALIDEZ from orders""",
-    "businesses": """select o_custkey as CONT_RUT, cast(o_orderkey % 25 as int) as UNOP_UNIDAD,
+    "businesses": """select o_custkey as CONT_RUT, cast(o_orderkey % 26 as int) as UNOP_UNIDAD,
  o_orderdate as NEGO_FECHA_VIGENCIA from orders""",
     "units": """select n_nationkey as UNOP_UNIDAD, r_name as UNOP_DES_REGIONAL from nation
- join region on n_regionkey=r_regionkey where n_nationkey < 24""",
+ join region on n_regionkey=r_regionkey""",
     "taxpayers": """select c_custkey as cont_rut, case when c_custkey % 10 = 0 then null
  when c_custkey % 10 = 1 then timestamp '2030-01-01 00:00:00' else d end as cont_fecha_constitucion_vo
  from customer left join (select o_custkey, min(o_orderdate) as d from orders group by o_custkey) x

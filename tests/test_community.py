@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import edges_df
 from riskgraph.operators import community as C
@@ -105,3 +106,8 @@ def test_louvain_ring_of_cliques(spark):
     assert all(len(g) == size for g in groups.values())
     q = C.modularity(und, mb, 1.0, node="nodo").first().modularidad
     assert q == pytest.approx(5 * (15 / 80 - (32 / 160) ** 2), abs=1e-9)
+
+
+def test_long_path_is_one_component(spark):
+    und = spark.range(0, 1000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("w"))
+    assert C.connected_components(und).select("c").distinct().collect() == [(0,)]

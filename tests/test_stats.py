@@ -28,6 +28,24 @@ def test_distributed_rank(spark):
     assert got == {k: 1000 - k for k in range(1000)}
 
 
+def test_ranks_and_quartiles_with_payload_and_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        n = 400_000
+        df = spark.range(0, n).select((F.col("id") * 7919 % n).alias("k"), F.concat(F.lit("payload "), F.col("id")).alias("x"),
+                                      F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("g"))
+        ranked = distributed_rank(df, [F.desc("k")])
+        assert ranked.where(F.col("rank") != n - F.col("k")).count() == 0
+        assert ranked.agg(F.countDistinct("rank")).first()[0] == n
+        got = {r.g: (r.q25, r.q50, r.q75) for r in describe(df, "k", by=["g"]).collect()}
+        want = {r.g: tuple(r.q) for r in df.groupBy("g").agg(F.expr("percentile(k, array(0.25, 0.5, 0.75))").alias("q")).collect()}
+        assert set(got) == {None, 0, 1}
+        for g in want:
+            assert got[g] == pytest.approx(want[g])
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_histogram_matches_numpy(spark):
     rng = np.random.default_rng(3)
     vals = rng.uniform(0, 10, size=400)
