@@ -118,7 +118,8 @@ def runs(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, offsets: np.nda
     edges = np.append(np.flatnonzero(change), len(x))
     end = np.minimum(edges[np.searchsorted(edges, first, side="right")], (starts + sizes)[of[first]] - LENGTH + 1)
     out = np.empty(len(first), dtype=RUN)
-    out["key"] = h[(x[first] & np.uint64(0xFFFFFF)).astype(np.int64)]
+    # least hashes are small numbers: mixed once more, they spread evenly over the buckets
+    out["key"] = _mixed(h[(x[first] & np.uint64(0xFFFFFF)).astype(np.int64)])
     out["n"] = end - first
     out["text"] = _mixed((s[end - 1 + LENGTH] - s[first]) * down[first] + (end - first).astype(np.uint64))
     out["doc"], out["tie"] = docs[of[first]], ties[of[first]]
