@@ -7,21 +7,13 @@ Q_γ = Σ_c [L_c/m − γ·(d_c/2m)²]."""
 
 from __future__ import annotations
 
-import os
-import time
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import distributed_rank
-from ..session import bucket_count
-from ..sources.io import cut, cut_bucketed
 from .components import components
-
-
-_DEBUG = bool(os.environ.get("RISKGRAPH_DEBUG"))
+from .louvain import partitions
 
 
 def to_undirected(edges: DataFrame, weight: str = "Fi") -> DataFrame:
@@ -64,149 +56,11 @@ def attach_communities(labelled: DataFrame, membership: DataFrame,
     return labelled.join(mb, labelled.cont_rut == mb.__nodo, "left").drop("__nodo")
 
 
-# -- Louvain --------------------------------------------------------------------
-
-def _eligible(node_col: str, sweep: int, seed: int, frac_bits: int):
-    """Deterministic pseudo-random subset of nodes allowed to move in a
-    sweep: a fraction 2^-frac_bits of them."""
-    h = F.xxhash64(F.col(node_col), F.lit(sweep), F.lit(seed))
-    return F.pmod(h, F.lit(1 << frac_bits)) == 0
-
-
-def _q_of(und: DataFrame, memb: DataFrame, gamma: float, m: float | None = None) -> float:
-    return modularity(und, memb, gamma, node="node", community="c", m=m).first()["modularidad"]
-
-
-def _decisions(nt: DataFrame, adj: DataFrame, m: float, g: float, name: str) -> DataFrame:
-    """One table per sweep, one row per node: community ``c``, degree ``k``,
-    self-loop ``sl``, community total ``tot``, weight to its own community
-    ``kin_own`` and the best other community ``b`` (value, −id). The current
-    Q_γ is one aggregate of this same table (see ``_q_from``)."""
-    tot = nt.groupBy("c").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("sz"))
-    ext = nt.join(tot, "c")
-    nb = (adj.join(nt.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-          .groupBy("src", "cd").agg(F.sum("w").alias("kin")))
-    cand = (nb.join(ext.select(F.col("node").alias("src"), F.col("c").alias("own"), "k", F.col("sz").alias("szo")),
-                    "src")
-            .join(tot.select(F.col("c").alias("cd"), F.col("tot").alias("tot_cd"), F.col("sz").alias("szd")), "cd"))
-    # two singletons may merge only towards the smaller label, so a pair of
-    # neighbours cannot swap communities in the same sweep
-    allowed = ~((F.col("szo") == 1) & (F.col("szd") == 1) & (F.col("cd") > F.col("own")))
-    val = F.col("kin") - g * F.col("k") * F.col("tot_cd") / (2 * m)
-    per_src = cand.groupBy(F.col("src").alias("node")).agg(
-        F.max(F.when((F.col("cd") != F.col("own")) & allowed,
-                     F.struct(val.alias("val"), (-F.col("cd")).alias("neg")))).alias("b"),
-        F.max(F.when(F.col("cd") == F.col("own"), F.col("kin"))).alias("kin_own"))
-    dec = ext.join(per_src, "node", "left").select(
-        "node", "c", "k", "sl", "tot", F.coalesce(F.col("kin_own"), F.lit(0.0)).alias("kin_own"), "b")
-    stay = F.col("kin_own") - g * F.col("k") * (F.col("tot") - F.col("k")) / (2 * m)
-    return cut(dec.withColumn("improves", F.col("b").isNotNull() & (F.col("b.val") > stay)), name)
-
-
-def _q_from(dec: DataFrame, m: float, g: float, tol: float) -> tuple[float, int]:
-    """Q_γ of the membership in ``dec`` and the number of nodes with an
-    improving move: L = Σ_u (sl_u + kin_own_u/2), Σ_c tot_c² = Σ_u k_u·tot_c(u)."""
-    stay_gain = F.col("b.val") - (F.col("kin_own") - g * F.col("k") * (F.col("tot") - F.col("k")) / (2 * m))
-    r = dec.agg((F.sum(F.col("sl") + F.col("kin_own") / 2) / m
-                 - g * F.sum(F.col("k") * F.col("tot")) / (4 * m * m)).alias("q"),
-                F.count_if(F.col("improves") & (stay_gain > tol)).alias("n")).first()
-    return r["q"], r["n"]
-
-
-def _one_level(und: DataFrame, m: float, gamma: float, seed: int, level: int,
-               max_sweeps: int, tol: float) -> tuple[DataFrame, float, bool]:
-    """Local moving on one level. All nodes decide at once from the same
-    membership; to keep simultaneous moves from undoing each other, two
-    singletons merge only towards the smaller label, a sweep is kept only if
-    it raises Q_γ, and after a sweep that does not, only a pseudo-random
-    half (then quarter, eighth) of the improving nodes may move; the fraction
-    doubles again after a sweep that does. Q_γ of a membership comes out of
-    the same table as its move decisions, so a sweep is two table writes and
-    one small aggregate."""
-    g = float(gamma)
-    k = degrees(und)
-    sl = und.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("w").alias("sl"))
-    adj = (und.where(F.col("u") != F.col("v"))
-           .select(F.explode(F.array(
-               F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("w")),
-               F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("w").alias("w")))).alias("x"))
-           .select("x.src", "x.dst", "x.w"))
-    # adjacency bucketed by neighbour and membership bucketed by node (same
-    # count): the per-sweep adjacency ⋈ membership join reads both in place,
-    # so the edge-sized table is never shuffled again on this level
-    nb_buckets = bucket_count(und.sparkSession, 2 * und.count())
-    adj = cut_bucketed(adj, f"louvain-adj-l{level}", "dst", nb_buckets)
-    nt = cut_bucketed(k.join(sl, "node", "left").select("node", F.col("node").alias("c"), "k",
-                                                        F.coalesce(F.col("sl"), F.lit(0.0)).alias("sl")),
-                      f"louvain-nt-l{level}-s0", "node", nb_buckets)
-    dec = _decisions(nt, adj, m, g, f"louvain-dec-l{level}-s0")
-    best_q, n_improving = _q_from(dec, m, g, tol)
-    moved = False
-    frac_bits = 0                       # every improving node may move; halved after a failed sweep
-    for sweep in range(1, max_sweeps + 1):
-        if n_improving == 0:
-            break                       # no node can improve: the level has converged
-        moves = (dec.where(F.col("improves") & _eligible("node", level * 1000 + sweep, seed, frac_bits))
-                 .select("node", (-F.col("b.neg")).alias("newc")))
-        new_nt = cut_bucketed(nt.join(moves, "node", "left")
-                              .select("node", F.coalesce(F.col("newc"), F.col("c")).alias("c"), "k", "sl"),
-                              f"louvain-nt-l{level}-s{sweep}", "node", nb_buckets, repartition=False)
-        new_dec = _decisions(new_nt, adj, m, g, f"louvain-dec-l{level}-s{sweep}")
-        q_new, n_new = _q_from(new_dec, m, g, tol)
-        if _DEBUG:
-            print(f"louvain level={level} sweep={sweep} q={q_new:.6f} best={best_q:.6f} frac=1/{1 << frac_bits} "
-                  f"at={time.time():.1f}")
-        if q_new > best_q + tol:
-            nt, dec, best_q, n_improving, moved = new_nt, new_dec, q_new, n_new, True
-            frac_bits = max(0, frac_bits - 1)
-        else:
-            frac_bits += 1              # retry from the kept decisions with fewer movers
-            if frac_bits > 3:
-                break
-    return nt.select("node", "c"), best_q, moved
-
-
-def louvain(und: DataFrame, resolution: float = 1.0, seed: int = 0, max_sweeps: int = 30,
-            max_levels: int = 10, tol: float = 1e-7) -> DataFrame:
-    """weighted Louvain as DataFrame jobs → (nodo, comunidad, q_gamma).
-
-    Each level runs local moving (see ``_one_level``), then contracts every
-    community to one node (intra weight becomes a self-loop) and repeats while
-    Q_γ rises. Labels are 1..k ordered by community size desc, then smallest
-    member. Every sweep's membership is a written table; the driver only
-    holds scalars (m, Q)."""
-    und = cut(und.select("u", "v", "w"), "louvain-und")
-    m = und.select(F.sum("w")).first()[0]
-    if not m:
-        return und.sparkSession.createDataFrame([], "nodo long, comunidad long, q_gamma double")
-    if resolution <= 0:
-        # γ = 0: Q = Σ L_c / m only grows by merging connected communities,
-        # so the optimum is the connected components
-        mapping = cut(connected_components(und).select(F.col("node").alias("orig"), F.col("c").alias("cur")),
-                      "louvain-map-cc")
-        max_levels = 0
-    else:
-        mapping = degrees(und).select(F.col("node").alias("orig"), F.col("node").alias("cur"))
-        mapping = cut(mapping, "louvain-map-0")
-    level_und = und
-    q_prev = None
-    for level in range(max_levels):
-        memb, q_level, moved = _one_level(level_und, m, resolution, seed, level, max_sweeps, tol)
-        if not moved or (q_prev is not None and q_level - q_prev < tol):
-            break
-        q_prev = q_level
-        mapping = cut(mapping.join(memb, mapping.cur == memb.node).select("orig", F.col("c").alias("cur")),
-                      f"louvain-map-{level + 1}")
-        j = level_und.join(memb.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u") \
-                     .join(memb.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v")
-        level_und = cut(j.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v"))
-                        .agg(F.sum("w").alias("w")), f"louvain-und-{level + 1}")
-    sizes = mapping.groupBy("cur").agg(F.count(F.lit(1)).alias("size"), F.min("orig").alias("first"))
-    ranked = distributed_rank(sizes, [F.desc("size"), F.asc("first")], name="comunidad")
-    q_final = _q_of(und, mapping.select(F.col("orig").alias("node"), F.col("cur").alias("c")), resolution, m)
-    return (mapping.join(ranked.select("cur", "comunidad"), "cur")
-            .select(F.col("orig").alias("nodo"), F.col("comunidad").cast("long").alias("comunidad"),
-                    F.lit(q_final).alias("q_gamma")))
+def louvain(und: DataFrame, resolution: float = 1.0, seed: int = 0, tol: float = 1e-7) -> DataFrame:
+    """weighted Louvain as DataFrame jobs → (nodo, comunidad, q_gamma),
+    labels 1..k by size descending, then smallest member. It ends when no
+    node of any level can raise Q_γ by more than ``tol`` (see louvain.py)."""
+    return partitions(und, [resolution], seed, tol).select("nodo", "comunidad", "q_gamma")
 
 
 def connected_components(und: DataFrame) -> DataFrame:
@@ -217,29 +71,11 @@ def connected_components(und: DataFrame) -> DataFrame:
 
 
 def resolution_study(und: DataFrame, gammas: Sequence[float] = tuple(i / 10 for i in range(11)),
-                     seed: int = 0, parallel: int = 4, **kw) -> DataFrame:
-    """for each γ, Louvain at γ and Q at γ = 1 of that partition → long
-    table (nodo, gamma, comunidad, modularidad).
-
-    The runs are independent, so up to ``parallel`` of them are submitted at
-    once from driver threads: each sweep is a chain of short stages, and
-    concurrent runs fill the executors between them. Each run writes its own
-    tables; the driver holds only scalars."""
-    und = cut(und.select("u", "v", "w"), "study-und")
-    m = und.select(F.sum("w")).first()[0]
-
-    def one(gmm: float) -> DataFrame:
-        mb = louvain(und, resolution=gmm, seed=seed, **kw)
-        q1 = modularity(und, mb, 1.0, node="nodo", community="comunidad", m=m).first()["modularidad"]
-        return cut(mb.select("nodo", F.lit(float(gmm)).alias("gamma"), "comunidad",
-                             F.lit(q1).alias("modularidad")), f"study-{gmm}")
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        parts = list(pool.map(one, [float(g) for g in gammas]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                     seed: int = 0, tol: float = 1e-7) -> DataFrame:
+    """Louvain at each γ and Q at γ = 1 of its partition → long table
+    (nodo, gamma, comunidad, modularidad). All resolutions advance in the same
+    jobs."""
+    return partitions(und, gammas, seed, tol).select("nodo", "gamma", "comunidad", F.col("q_1").alias("modularidad"))
 
 
 def study_table(labelled: DataFrame, long: DataFrame, gammas: Sequence[float]) -> DataFrame:
@@ -257,4 +93,3 @@ def study_table(labelled: DataFrame, long: DataFrame, gammas: Sequence[float]) -
             ren.append(F.col(f"`{c}`").alias(f"{what}_{g}"))
     wide = wide.select(*ren)
     return labelled.join(wide, labelled.cont_rut == wide.nodo, "left").drop("nodo").dropDuplicates()
-

@@ -77,7 +77,7 @@ def test_louvain_invariants_on_test_tables(spark):
 
 def test_resolution_study_and_wide_table(spark):
     und = C.to_undirected(edges_df(spark, TWO_TRIANGLES))
-    long = C.resolution_study(und, gammas=(0.0, 1.0), seed=0, parallel=2)
+    long = C.resolution_study(und, gammas=(0.0, 1.0), seed=0)
     rows = {(r.nodo, r.gamma): r for r in long.collect()}
     assert len(rows) == 12
     assert len({rows[(n, 0.0)].comunidad for n in range(1, 7)}) == 1              # γ = 0: one component
