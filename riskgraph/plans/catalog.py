@@ -569,13 +569,16 @@ def q_hist_density_high(spark, d):
                                         stat="density"), density=True)
 
 
-@q("kde_score", O.build(f"""select cast(g.i as integer) as i, {R6('st.lo + g.i * (st.hi - st.lo) / 199', 'x')},
+_KDE_SQL = f"""select cast(g.i as integer) as i, {R6('st.lo + g.i * (st.hi - st.lo) / 199', 'x')},
  {R6('sum(v.w * exp(-0.5 * power((v.x - (st.lo + g.i * (st.hi - st.lo) / 199)) / st.h, 2))) / (st.n * st.h * sqrt(2 * pi()))', 'density')}
- from (select score as x, count(*) as w from new_comb where score >= 0.5 group by score) v,
+ from (select score as x, count(*) as w from {{src}} where score >= 0.5 group by score) v,
   (select n, h, mn - 3 * h as lo, mx + 3 * h as hi from (select count(*) as n, stddev_samp(score) * power(count(*), -0.2) as h,
-    min(score) as mn, max(score) as mx from new_comb where score >= 0.5)) st,
+    min(score) as mn, max(score) as mx from {{src}} where score >= 0.5)) st,
   range(200) g(i)
- group by g.i, st.lo, st.hi, st.n, st.h""", ["new_comb"]))
+ group by g.i, st.lo, st.hi, st.n, st.h"""
+
+
+@q("kde_score", O.build(_KDE_SQL.format(src="new_comb"), ["new_comb"]))
 def q_kde_score(spark, d):
     k = profile.kde(_new_comb(spark, d).where(F.col("score") >= 0.5), "score", 200)
     return k.select(F.col("i").cast("int").alias("i"), r6("x").alias("x"), r6("density").alias("density"))
@@ -697,3 +700,136 @@ def q_export_edges(spark, d):
                                   ["labelled"]))
 def q_node_key_violations(spark, d):
     return export.node_key_violations(labelled_nodes(spark, d))
+
+
+# ================================================= round trips through formats
+from ..session import scratch_path  # noqa: E402
+from ..sources import io  # noqa: E402
+
+FORCE_SQL = O.build(f"select emisor, receptor, {R6('Fi', 'Fi')} from f_vat", ["f_vat"])
+
+
+def _force_cols(df):
+    return df.select("emisor", "receptor", r6("Fi").alias("Fi"))
+
+
+@q("csv_typed", FORCE_SQL)
+def q_csv_typed(spark, d):
+    """The force table as CSV with a header, read back with its schema."""
+    f = Inputs(spark, d).force_vat()
+    path = scratch_path(spark, "force-csv")
+    io.write_csv(f, path)
+    return _force_cols(io.read_csv(spark, path, f.schema))
+
+
+@q("csv_untyped", O.build(f"select PARU_RUT_E0 as emisor, PARU_RUT_E2 as receptor, {R6('Monto_IVA', 'Fi')} from arcs", ["arcs"]))
+def q_csv_untyped(spark, d):
+    """A raw extract with ';' and no types, cast and renamed."""
+    path = scratch_path(spark, "arcs-csv")
+    io.write_csv(Inputs(spark, d).arcs().withColumnRenamed("Monto_IVA", "Fi"), path, sep=";")
+    raw = io.cast_columns(io.read_csv(spark, path, sep=";"), {"PARU_RUT_E0": "bigint", "PARU_RUT_E2": "bigint"})
+    return _force_cols(forces.normalise_edges(raw))
+
+
+@q("parquet_round_trip", FORCE_SQL)
+def q_parquet_round_trip(spark, d):
+    """A3 and A5."""
+    path = scratch_path(spark, "force-parquet")
+    io.write_parquet(Inputs(spark, d).force_vat(), path)
+    return _force_cols(io.read_parquet(spark, path))
+
+
+@q("table_round_trip", FORCE_SQL)
+def q_table_round_trip(spark, d):
+    """A4: an external catalog table."""
+    path = scratch_path(spark, "force-table")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    Inputs(spark, d).force_vat().write.option("path", path).saveAsTable(name)
+    return _force_cols(io.read_table(spark, name))
+
+
+@q("view_query", O.build("select receptor, count(*) as n from f_vat group by receptor", ["f_vat"]))
+def q_view_query(spark, d):
+    """A7."""
+    io.register(Inputs(spark, d).force_vat(), "force_vat_view")
+    return spark.sql("select receptor, count(*) as n from force_vat_view group by receptor")
+
+
+@q("seeds_active_raw", O.build("""select cast(CONT_RUT_E as bigint) as cont_rut, 1 as score
+ from active_alerts where ALER_COD_TIPO_ALERTA in ('4110','4111','4112','4113')""", ["active_alerts"]))
+def q_seeds_active_raw(spark, d):
+    return seeds.seeds_from_active(fixtures.active_alerts_extract(spark, d), dedup=False)
+
+
+# ==================================== distributions of the two other scenarios
+def _new_of(scenario: str):
+    return lambda spark, d: propagate.new_scores(run_scenario(spark, d, scenario, 15).state, Inputs(spark, d).seeds())
+
+
+def _register_scenario(sc: str) -> None:
+    src, new = f"new_{sc}", _new_of(sc)
+    O.cte(src, f"select s.cont_rut as contaminados, round(s.score, 3) as score from {sc}_s15 s "
+               "where s.cont_rut not in (select cont_rut from seeds)", (f"{sc}_s15", "seeds"))
+    q(f"round_metrics_{sc}", _round_metrics_sql(sc, 15))(
+        lambda spark, d: propagate.round_metrics(run_scenario(spark, d, sc, rounds=15).states))
+    q(f"hist_density_{sc}", _nested(_hist_sql(src, "score", 100, [], "score > 0", density=True), [src]))(
+        lambda spark, d: _hist_cols(profile.histogram(new(spark, d).where(F.col("score") > 0), "score", 100, stat="density"), density=True))
+    for name, keep in (("positive", "score > 0"), ("high", "score >= 0.5")):
+        q(f"describe_{name}_{sc}", O.build(_describe_sql(src, "score", [], keep), [src]))(
+            lambda spark, d, keep=keep: _describe_cols(describe(new(spark, d).where(keep), "score", tiebreak=["contaminados"])))
+    q(f"kde_score_{sc}", O.build(_KDE_SQL.format(src=src), [src]))(
+        lambda spark, d: profile.kde(new(spark, d).where(F.col("score") >= 0.5), "score", 200).select(
+            F.col("i").cast("int").alias("i"), r6("x").alias("x"), r6("density").alias("density")))
+
+
+for _sc in ("vat", "rep"):
+    _register_scenario(_sc)
+
+
+# ============================================================= planted groups
+#: The combined graph without the edges between groups of very different sizes (2 i + 1 of 400 ids belong to group i):
+#: it falls into components and communities that are not trivial.
+def _planted(spark, d):
+    group = lambda c: F.floor(F.sqrt(F.col(c) % 400))
+    e = Inputs(spark, d).force_combined().where(group("emisor") == group("receptor"))
+    return community.to_undirected(e)
+
+
+O.cte("planted", "select u, v, w from und where floor(sqrt(u % 400)) = floor(sqrt(v % 400))", ("und",))
+_REACH = """with recursive ends as (select u as a, v as b from planted union select v, u from planted),
+ reach(node, low) as (select a, a from ends union select e.b, r.low from reach r join ends e on r.node = e.a)
+ select node, min(low) as component from reach group by node"""
+
+
+@q("planted_components", O.build(f"select * from ({_REACH})", ["planted"]))
+def q_planted_components(spark, d):
+    return community.connected_components(_planted(spark, d)).select("node", F.col("c").alias("component"))
+
+
+@q("planted_louvain_zero", O.build(f"""select t.node as nodo, k.comunidad from ({_REACH}) t join
+ (select component, row_number() over (order by count(*) desc, component) as comunidad from ({_REACH}) group by component) k
+ on t.component = k.component""", ["planted"]))
+def q_planted_louvain_zero(spark, d):
+    """F2 at γ = 0: components, labelled by size."""
+    return community.louvain(_planted(spark, d), resolution=0.0).select("nodo", "comunidad")
+
+
+@q("planted_louvain", O.build("""select g.gamma, (select count(*) from (select u from planted union select v from planted)) as n_nodes,
+ true as once, true as labels_gapless, true as q_stated, true as beats_singletons from (values (0.5::double), (1.0::double)) g(gamma)""",
+                              ["planted"]))
+def q_planted_louvain(spark, d):
+    """what must hold of any partition that Louvain returns, recomputed by other means."""
+    und = io.cut(_planted(spark, d), "planted")
+    singles = community.degrees(und).select("node", F.col("node").alias("c"))
+    out = []
+    for g in (0.5, 1.0):
+        mb = io.cut(community.resolution_study(und, [g]), "planted-study")
+        q1 = community.modularity(und, mb, 1.0, node="nodo", community="comunidad").scalar()
+        base = community.modularity(und, singles, 1.0, node="node", community="c").scalar()
+        out.append(mb.agg(F.lit(g).alias("gamma"), F.count(F.lit(1)).alias("n_nodes"),
+                          (F.count(F.lit(1)) == F.count_distinct("nodo")).alias("once"),
+                          ((F.min("comunidad") == 1) & (F.max("comunidad") == F.count_distinct("comunidad"))).alias("labels_gapless"),
+                          F.max("modularidad").alias("q"))
+                   .select("gamma", "n_nodes", "once", "labels_gapless", (F.abs(F.col("q") - q1) < 1e-9).alias("q_stated"),
+                           (F.col("q") >= base).alias("beats_singletons")))
+    return out[0].union(out[1])
