@@ -2,8 +2,9 @@
 
 The number of tokens of a text under a unigram tokenizer, without making the tokens. An Aho-Corasick automaton over
 the vocabulary gives every piece that ends at a position; the best way to reach that position carries its score and
-its number of tokens only. Text is split before each space (the space mark belongs to the word that follows), as the
-tokenizer itself does, so a word costs one pass the first time a task meets it.
+its number of tokens only. Text is cut where a space follows another character, since no piece crosses that place: a
+run of spaces, whose marks are pieces of several marks, stays with the word that follows, and such a unit costs one
+pass the first time a task meets it. With a vocabulary that has a piece across such a place, a text is not cut.
 
 Rules of the tokenizer that decide counts, and that ties depend on:
 - a path replaces another only if its score is higher. Paths to a position are tried by where their last piece
@@ -15,6 +16,7 @@ Scores are whole numbers here, or in any case double precision, added from the l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -44,9 +46,12 @@ def load_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Counts the tokens of texts; keeps what it found for each word."""
+    """Counts the tokens of texts; keeps what it found for each word. With ``split``, text is split before each space,
+    so that no piece has a mark but at its start."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]]) -> None:
+    def __init__(self, vocabulary: list[tuple[str, float]], split: bool = True) -> None:
+        self.split = split
+        self.crossed = any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _ in vocabulary)
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score))
@@ -79,9 +84,13 @@ class Counter:
         """(words, tokens, characters that are no piece)."""
         if not text:
             return 0, 0, 0
-        words = text.replace(MARK, " ").split(" ")
-        if not words[0]:  # a mark at the start is the first word's own
-            del words[0]
+        spaced = text.replace(MARK, " ")
+        if spaced[0] != " ":  # a mark at the start is the first word's own
+            spaced = " " + spaced
+        n_words = spaced.count(" ")
+        if not self.split and self.crossed:
+            return n_words, *self.word(spaced.replace(" ", MARK))
+        words = spaced[1:].split(" ") if self.split or "  " not in spaced else re.findall(" ( *[^ ]*)", spaced)
         tokens = fallback = 0
         known = self.words
         for w in words:
@@ -89,21 +98,21 @@ class Counter:
             if got is None:
                 if len(known) >= CACHE_WORDS:
                     known.clear()
-                got = known[w] = self.word(MARK + w)
+                got = known[w] = self.word(MARK + w.replace(" ", MARK))
             tokens += got[0]
             fallback += got[1]
-        return len(words), tokens, fallback
+        return n_words, tokens, fallback
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_tokens, n_fallback.
 
-    Null or empty text: zeros. Each text is counted alone and whole; repeated rows and ties give equal rows, other
+    Null or empty text: zeros. Each text is counted alone and whole, runs of spaces as the pieces that they are; repeated rows and ties give equal rows, other
     columns are not read. The vocabulary, whose size does not depend on the corpus, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        counter = Counter(shared.value, split=False)
         for batch, texts in slices(batches, "text"):
             rows = [counter.text(t.decode("utf-8", "replace")) for t in texts]
             words, tokens, fallback = zip(*rows, strict=True)

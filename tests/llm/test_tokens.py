@@ -60,3 +60,32 @@ def test_cache_bound(vocabulary, monkeypatch):
     own = tokens.Counter(vocabulary)
     text = "one two three four five six one"
     assert own.text(text)[1] == len(library(vocabulary).encode(text, add_special_tokens=False).ids)
+
+
+def whole(vocabulary):
+    t = Tokenizer(models.Unigram(vocabulary, 0, True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=tokens.MARK, prepend_scheme="always", split=False)
+    return t
+
+
+def test_runs_of_spaces(spark, vocabulary):
+    """Pieces of several marks match: rows as the library counts the text without a split."""
+    rng = random.Random(3)
+    texts = ["a" + " " * 16 + "a", "def f():\n        return 1", " ", "  ", "   a", "a   ", "a  b", "▁▁a ▁b", " " * 40, "\n    x = 1\n\n    y",
+             *("".join(rng.choice(["a", "the", "\n", " ", "  ", " " * 7]) for _ in range(30)) for _ in range(40))]
+    lib = whole(vocabulary)
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary).collect()}
+    want = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert got == want
+    assert want[0] == 3
+
+
+def test_pieces_across_words_without_split():
+    rng = random.Random(2)
+    for _ in range(100):
+        pieces = {"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(2, 14))}
+        vocab = [("<unk>", 0.0), *((f"<0x{i:02X}>", 0.0) for i in range(256)), *((p, -float(rng.randint(1, 3))) for p in sorted(pieces))]
+        lib, own = whole(vocab), tokens.Counter(vocab, split=False)
+        for _ in range(20):
+            text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 14)))
+            assert own.text(text)[1] == len(lib.encode(text, add_special_tokens=False).ids), (text, vocab[257:])
