@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, quality, scoring, secrets, sharding, suffix, tokens, warc
+from . import decontaminate, divergence, jaccard, mixing, quality, scoring, secrets, sharding, suffix, tokens, warc
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_tokens": tokens.op9_tokens,
     "op10_warc": warc.op10_warc,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLE = {
     "op3_secrets": secrets.ORACLE_SECRETS,
     "op4_mixing": mixing.ORACLE_MIX.format(documents="documents"),
     "op10_warc": warc.ORACLE_WARC,
+    "op13_divergence": divergence.ORACLE_DIVERGENCE,
 }
