@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, decontaminate, divergence, jaccard, mixing, quality, scoring, secrets, sharding, suffix, tokens, warc
+from . import alignment, anchors, decontaminate, divergence, jaccard, mixing, quality, scoring, secrets, sharding, suffix, tokens, warc
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_tokens": tokens.op9_tokens,
     "op10_warc": warc.op10_warc,
     "op11_anchors": anchors.op11_anchors,
+    "op12_alignment": alignment.op12_alignment,
     "op13_divergence": divergence.op13_divergence,
 }
 
