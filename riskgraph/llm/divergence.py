@@ -3,10 +3,11 @@
 A term of a group (a source within a language) has the price p = 1 + floor(10^9 (count + 2) / (N + 2V)) with N counts
 over the V kept terms, and two prices differ by floor((p - q)^2 / (p + q)). All of it is whole numbers.
 
-1. Tasks count terms and their documents per group; Spark adds these up. Terms in enough documents of a language are
-   kept and get dense ids in the order of their bytes.
-2. A group's counts become arrays of (term id, count) in id order, cut at every ``BLOCK`` ids, so that no array grows
-   with the vocabulary.
+1. Tasks count the terms of a slice of text, with the documents that hold them, per group, and send what belongs to a
+   bucket of (language, term) hashes as one packed message. A bucket adds them up, keeps the terms in enough documents
+   of their language, and gives each with its counts per source. Kept terms get dense ids in the order of their bytes.
+2. A group's counts become packed arrays of (term id, count) in id order, cut at every ``BLOCK`` ids, so that no array
+   grows with the vocabulary.
 3. One task per unordered pair of groups and block co-groups the two arrays. A galloping intersection finds the shared
    terms; these, and the terms of one side only, are priced both ways at once, since the difference is symmetric.
    Terms that neither side has all cost the same and are multiplied at the end.
@@ -17,75 +18,112 @@ The pairs of a language's sources are the result asked for; nothing else is pair
 
 from __future__ import annotations
 
-from collections import Counter
+import json
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import cut
-from .base import ranked, slices, table
+from .anchors import _MSG_DDL, _messages, _steps, _sums, pack, unpack
+from .base import ranked, slices, table, total
 
 #: Documents of its language that hold a kept term; terms reported per group.
 MIN_DOCS, TOP_TERMS = 10, 10
 UNIT = 1_000_000_000
 #: Term ids per array.
 BLOCK = 1 << 16
-#: Counts that a task gathers before it hands them on; bytes of text split into words at once.
-HELD, PIECE = 300_000, 1 << 20
+#: Bytes of text counted at once (a longer text alone), average bytes of text behind a bucket of terms.
+SLICE, BUCKET = 8 << 20, 32 << 20
 
 #: A-Z in lower case, other ASCII but a-z as a space; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-_COUNTS_DDL = "lang string, source string, term string, n long, docs long"
+_KEPT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("lang_n", pa.int64()), ("sources", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
+_KEPT_DDL = "lang string, term string, lang_n long, sources array<string>, ns array<long>"
+_ARRAYS_DDL = "lang string, i long, block long, data binary"
 _PRICED_DDL = "lang string, i long, j long, cost long, met long"
 
 
-def words(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, in lists; a long text is cut at places between terms."""
-    body, at = text.translate(_FOLD), 0
-    while len(body) - at > PIECE:
-        end = body.rfind(b" ", at + 1, at + PIECE)
-        if end < 0:  # one term longer than a piece
-            end = body.find(b" ", at + PIECE)
-            if end < 0:
-                break
-        yield body[at:end].split()
-        at = end
-    yield body[at:].split()
-
-
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term per group, over what a task has read since it last handed on."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-    n = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (occurrences, docs) in held.items():
-            if occurrences:
-                k = len(occurrences)
-                yield pa.RecordBatch.from_arrays([
-                    pa.repeat(pa.scalar(lang, pa.string()), k), pa.repeat(pa.scalar(source, pa.string()), k),
-                    pa.array(list(occurrences), pa.binary()).cast(pa.string()), pa.array(occurrences.values(), pa.int64()),
-                    pa.array([docs[t] for t in occurrences], pa.int64())], schema=_COUNTS)
-        held.clear()
-
-    for batch, texts in slices(batches, "text", PIECE):
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-            occurrences, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            n -= len(occurrences)
-            seen: set[bytes] = set()
-            for some in words(text):
-                occurrences.update(some)
-                seen.update(some)
-            docs.update(seen)
-            n += len(occurrences)
-        if n >= HELD:
-            yield from flush()
-            n = 0
-    yield from flush()
+def count_slice(texts: list[bytes], group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of some texts, and rows of (term, group, occurrences, documents); ``group``: of each text."""
+    folded = pa.array([t.translate(_FOLD) for t in texts], pa.large_binary()).cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(folded)
+    words, doc = lists.flatten(), np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
+    coded = words.dictionary_encode()
+    terms, code = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+    some = np.asarray(pc.binary_length(terms))[code] > 0 if len(code) else np.empty(0, bool)  # a text's ends may be spaces
+    n = max(1, len(terms))
+    held, times = np.unique(doc[some] * n + code[some], return_counts=True)
+    key = held % n * (int(group.max(initial=0)) + 1) + group[held // n]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    occurrences = np.add.reduceat(times[order], first) if len(first) else np.empty(0, np.int64)
+    return terms, key[first] // (int(group.max(initial=0)) + 1), key[first] % (int(group.max(initial=0)) + 1), occurrences, np.diff(np.append(first, len(key)))
+
+
+def _bucketed(langs: list[str], sources: list[str], texts: list[bytes], buckets: int) -> pa.RecordBatch:
+    """Messages of one slice: the terms of a bucket, its groups, and its rows."""
+    names = list(dict.fromkeys(zip(langs, sources, strict=True)))
+    place = {g: k for k, g in enumerate(names)}
+    terms, code, group, n, docs = count_slice(texts, np.array([place[g] for g in zip(langs, sources, strict=True)], dtype=np.int64))
+    salt = np.array([zlib.crc32(g[0].encode()) for g in names], dtype=np.int64)
+    bodies = terms.cast(pa.large_binary()).to_pylist()
+    where = (np.array([zlib.crc32(t) for t in bodies], dtype=np.int64)[code] ^ salt[group]) * 2654435761 % (1 << 32) * buckets >> 32
+    order = np.lexsort((group, code, where))
+    rows = []
+    for at in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+        if len(at):
+            used, local = np.unique(code[at], return_inverse=True)
+            said, of = np.unique(group[at], return_inverse=True)
+            mine = [bodies[c] for c in used.tolist()]
+            head = json.dumps([names[k] for k in said.tolist()]).encode() + b"\0" + b" ".join(mine)
+            rows.append((int(where[at[0]]), zlib.compress(head, 1) + pack(_steps(local), of, n[at], docs[at])))
+    return _messages(rows)
+
+
+def _added(group: pa.Table, min_docs: int) -> pa.Table:
+    """Kept terms of one bucket with their counts per source."""
+    place: dict[tuple[str, str], int] = {}
+    terms, parts, seen = [], [], 0
+    for data in group["data"].to_pylist():
+        inflate = zlib.decompressobj()
+        said, mine = inflate.decompress(data).split(b"\0", 1)
+        local, of, n, docs = (x.astype(np.int64) for x in unpack(inflate.unused_data))
+        groups = np.array([place.setdefault(tuple(g), len(place)) for g in json.loads(said)], dtype=np.int64)
+        mine = mine.split(b" ")
+        terms.append(pa.array(mine, pa.binary()))
+        parts.append((np.cumsum(local) + seen, groups[of], n, docs))
+        seen += len(mine)
+    coded = pa.chunked_array(terms).combine_chunks().dictionary_encode()
+    code, of, n, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    code = np.asarray(coded.indices).astype(np.int64)[code]
+    names = list(place)
+    langs = list(dict.fromkeys(g[0] for g in names))
+    lang = np.array([langs.index(g[0]) for g in names], dtype=np.int64)
+    # one number per (language, term), then per source
+    term = lang[of] * len(coded.dictionary) + code
+    used, term = np.unique(term, return_inverse=True)
+    kept = np.bincount(term, weights=docs, minlength=len(used)) >= min_docs  # exact below 2^53
+    at = np.flatnonzero(kept[term])
+    key, inverse = np.unique(term[at] * len(names) + of[at], return_inverse=True)
+    sums = np.zeros(len(key), dtype=np.int64)
+    np.add.at(sums, inverse, n[at])
+    owner = key // len(names)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    used = used[owner[first]]
+    offsets = pa.array(np.append(first, len(key)), pa.int32())
+    text = coded.dictionary.take(pa.array(used % len(coded.dictionary))).cast(pa.string())
+    return pa.Table.from_arrays([
+        pa.array([langs[k] for k in (used // len(coded.dictionary)).tolist()], pa.string()), text,
+        pa.array(np.add.reduceat(sums, first) if len(first) else np.empty(0, np.int64), pa.int64()),
+        pa.ListArray.from_arrays(offsets, pa.array([names[k][1] for k in (key % len(names)).tolist()], pa.string())),
+        pa.ListArray.from_arrays(offsets, pa.array(sums))], schema=_KEPT)
 
 
 def price(count: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -158,11 +196,19 @@ def merge_cost(ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.nd
     return int(out), len(ids_a) + len(ids_b) - int(both.sum())
 
 
+def _packed(group: pa.Table) -> pa.Table:
+    """The array of one group and block."""
+    order = np.argsort(np.asarray(group["id"]))
+    ids, ns = np.asarray(group["id"])[order], np.asarray(group["n"])[order]
+    return group.select(["lang", "i", "block"]).slice(0, 1).append_column("data", pa.array([pack(_steps(ids), ns)], pa.binary()))
+
+
 def _arrays(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The array of one group and block; a block without terms has none."""
+    """(ids, counts); a block without terms of the group has no array."""
     if not side.num_rows:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(np.asarray(side[c].combine_chunks().flatten(), dtype=np.int64) for c in ("ids", "ns"))
+    ids, ns = unpack(side["data"][0].as_py())
+    return _sums(ids).astype(np.int64), ns.astype(np.int64)
 
 
 def _priced(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -172,22 +218,41 @@ def _priced(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
                      "cost": pa.array([value], pa.int64()), "met": pa.array([met], pa.int64())})
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows with about ``SLICE`` bytes of text together, over the bounds of batches."""
+    held, texts, size = [], [], 0
+    for batch, some in slices(batches, "text", SLICE):
+        n = sum(map(len, some))
+        if held and size + n > SLICE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
+            held, texts, size = [], [], 0
+        held.append(batch.select(["lang", "source"]))
+        texts, size = texts + some, size + n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
+
+
 def _texts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     return docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(counts, groups). Counts: lang, source, term, id, n of the kept terms that a group has, with n_group and
-    n_lang (summed counts), lang_n (the term in its language) and v. Groups: every group, terms or not, with its
-    number ``i`` within its language, n_group and v."""
+    """(counts, groups). Counts: lang, source, term, id and n of the kept terms that a group has, with lang_n (the
+    term in its language). Groups: every group, terms or not, with its number ``i`` within its language, n_group and
+    n_lang (summed counts) and v (kept terms)."""
     rows = _texts(docs, text, lang, source)
-    per_group = cut(rows.mapInArrow(count_terms, _COUNTS_DDL).groupBy("lang", "source", "term")
-                    .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
-    kept = (per_group.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
-            .where(F.col("docs") >= min_docs).select("lang", "term", "lang_n"))
+    buckets = max(1, math.ceil(total(rows, F.octet_length("text")) / BUCKET))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in gathered(batches):
+            yield _bucketed(*(batch.column(c).to_pylist() for c in (0, 1)), texts, buckets)
+
+    # written before it is ranked, which reads it twice
+    kept = cut(rows.mapInArrow(send, _MSG_DDL).groupBy("bucket").applyInArrow(lambda g: _added(g, min_docs), _KEPT_DDL), "divergence-kept")
     kept = cut(ranked(kept, ["lang"], ["term"], "id"), "divergence-terms")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("n_lang"))
-    counts = cut(per_group.drop("docs").join(kept, ["lang", "term"]), "divergence-kept")
+    counts = kept.select("lang", "term", "id", "lang_n", F.explode(F.arrays_zip("sources", "ns")).alias("x")) \
+        .select("lang", F.col("x.sources").alias("source"), "term", "id", "lang_n", F.col("x.ns").alias("n"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
     groups = rows.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_group", "v", "n_lang")])
@@ -200,13 +265,12 @@ def pair_costs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     pairs = cut(later.join(groups.select("lang", F.col("i").alias("j"), F.col("n_group").alias("n_j")), ["lang", "j"])
                 .select("lang", "i", "j", "n_i", "n_j", "v"), "divergence-pairs")
     arrays = (counts.join(groups.select("lang", "source", "i"), ["lang", "source"])
-              .groupBy("lang", "i", _div(F.col("id"), F.lit(BLOCK).cast("long")).alias("block"))
-              .agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x"))
-              .select("lang", "i", "block", F.col("x.id").alias("ids"), F.col("x.n").alias("ns")))
+              .select("lang", "i", _div(F.col("id"), F.lit(BLOCK).cast("long")).alias("block"), "id", "n")
+              .groupBy("lang", "i", "block").applyInArrow(_packed, _ARRAYS_DDL))
     arrays = cut(arrays, "divergence-arrays")
     key = ["lang", "i", "j", "n_i", "n_j", "v", "block"]
-    left = pairs.join(arrays, ["lang", "i"]).select(*key, "ids", "ns")
-    right = pairs.join(arrays.withColumnRenamed("i", "j"), ["lang", "j"]).select(*[F.col(c).alias(c) for c in (*key, "ids", "ns")])
+    left = pairs.join(arrays, ["lang", "i"]).select(*key, "data")
+    right = pairs.join(arrays.withColumnRenamed("i", "j"), ["lang", "j"]).select(*[F.col(c).alias(c) for c in (*key, "data")])
     priced = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_priced, _PRICED_DDL)
     sums = priced.groupBy("lang", "i", "j").agg(F.sum("cost").alias("cost"), F.sum("met").alias("met"))
     zero = F.lit(0).cast("long")

@@ -71,7 +71,8 @@ def made(seed, n=400):
 @pytest.mark.parametrize("seed", [1])
 def test_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(divergence, "BLOCK", 16)
-    monkeypatch.setattr(divergence, "HELD", 50)
+    monkeypatch.setattr(divergence, "SLICE", 2000)
+    monkeypatch.setattr(divergence, "BUCKET", 5000)
     rows = made(seed)
     got, want = result(divergence.audit(frame(spark, rows))), brute(rows)
     assert got == want
@@ -95,13 +96,19 @@ def test_edges(spark):
     assert result(divergence.audit(frame(spark, none))) == {("", "", "pair", "b", 0, 1), ("", "b", "pair", "", 0, 1)}
 
 
-def test_long_texts_are_counted_whole(monkeypatch):
-    monkeypatch.setattr(divergence, "PIECE", 7)
+def test_terms_of_a_slice():
     rng = random.Random(4)
-    for _ in range(200):
-        text = "".join(rng.choice("ab é1-") for _ in range(rng.randint(0, 60)))
-        got = [w.decode() for some in divergence.words(text.encode()) for w in some]
-        assert got == TERM.findall(text)
+    for _ in range(100):
+        texts = ["".join(rng.choice("ab éZ1-\x00\n") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 9))]
+        groups = [rng.randint(0, 2) for _ in texts]
+        terms, code, group, n, docs = divergence.count_slice([t.encode() for t in texts], np.array(groups))
+        terms, want = terms.to_pylist(), defaultdict(lambda: [0, 0])
+        for g, t in zip(groups, texts, strict=True):
+            for w, k in Counter(TERM.findall(t.translate(LOWER))).items():
+                want[w, g][0] += k
+                want[w, g][1] += 1
+        got = {(terms[c], g): [k, d] for c, g, k, d in zip(code.tolist(), group.tolist(), n.tolist(), docs.tolist(), strict=True)}
+        assert got == dict(want)
 
 
 def test_gallop_and_prices():
