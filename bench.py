@@ -35,7 +35,7 @@ def run(df):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, extra={"spark.driver.memory": "16g"})
     inp = Inputs(spark, sf_dir)
     times: dict[str, float] = {}
 
@@ -68,13 +68,16 @@ def main() -> None:
     timed("enrich", lambda: run(enrich.enrich(res.state, inp.tax_forms(), inp.documents(), inp.businesses(),
                                               inp.units(), inp.taxpayers(), inp.seeds(),
                                               since=fixtures.SINCE, as_of=fixtures.AS_OF)))
-    und = community.to_undirected(inp.force_combined())
+    und = inp.undirected()
     timed("modularity", lambda: run(community.modularity(und, fixed_membership(res.state), 1.0, node="nodo")))
     lab = labelled_nodes(spark, sf_dir)
     timed("community_profile", lambda: run(report.community_profile(report.min_size(lab, 15))))
     timed("scenario_vat", lambda: run_scenario(spark, sf_dir, "vat", rounds=15))
     if os.environ.get("BENCH_LOUVAIN", "1") == "1":
         timed("louvain", lambda: run(community.louvain(und, resolution=0.5, seed=0)))
+        small = os.environ.get("BENCH_STUDY_DIR", "/root/testdata/sf0.01").rstrip("/")
+        if os.path.isdir(small):  # eleven resolutions, whose sweeps go through the same jobs
+            timed("resolution_study_sf0.01", lambda: run(scenarios.resolution_study(spark, small)))
 
     total = round(sum(v for k, v in times.items() if k != "propagate_per_round"), 3)
     sf = sf_dir.rsplit("sf", 1)[-1]

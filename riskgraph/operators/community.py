@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import cut
 from .components import components
-from .louvain import partitions
+from .ids import dictionary, encoded
+from .louvain import connected_parts, modularities, partitions
 
 
 def to_undirected(edges: DataFrame, weight: str = "Fi") -> DataFrame:
@@ -35,7 +37,8 @@ def modularity(und: DataFrame, membership: DataFrame, resolution: float = 1.0,
                node: str = "node", community: str = "comunidad", m: float | None = None) -> DataFrame:
     """one row, ``modularidad`` = Q_γ of the partition. Two partial
     aggregates (intra weight per community, degree sum per community) and
-    one tiny final sum."""
+    one tiny final sum. The graph, which three branches read, is written once."""
+    und = cut(und.select("u", "v", "w"), "modularity-graph")
     mb = membership.select(F.col(node).alias("__n"), F.col(community).alias("__c"))
     m = F.lit(float(m)) if m is not None else und.select(F.sum("w")).scalar()
     cu = und.join(mb.withColumnRenamed("__c", "cu"), und.u == mb.__n).drop("__n")
@@ -56,6 +59,61 @@ def attach_communities(labelled: DataFrame, membership: DataFrame,
     return labelled.join(mb, labelled.cont_rut == mb.__nodo, "left").drop("__nodo")
 
 
+def node_gains(und: DataFrame, membership: DataFrame, m: float) -> DataFrame:
+    """(gamma, node, gain): what Q_γ gains at most if this one node moves to the community of a neighbour; null where
+    all neighbours are in its own. Straight from the definition:
+    ΔQ = (w(u, d) − w(u, c∖u))/m − γ·k_u·(D_d − (D_c − k_u))/(2m²).  ``membership``: gamma, node, c."""
+    deg = cut(degrees(und), "certificate-degrees")
+    memb = membership.join(deg, "node")
+    total = memb.groupBy("gamma", "c").agg(F.sum("k").alias("D"))
+    near = und.where("u <> v").select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.col("v").alias("other")),
+        F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("x"), "w").select("x.node", "x.other", "w")
+    to = (near.join(membership.select("gamma", F.col("node").alias("other"), F.col("c").alias("d")), "other")
+          .groupBy("gamma", "node", "d").agg(F.sum("w").alias("to")))
+    rows = (to.join(memb, ["gamma", "node"])
+            .join(total.select("gamma", F.col("c").alias("d"), F.col("D").alias("D_d")), ["gamma", "d"]))
+    own = rows.groupBy("gamma", "node").agg(
+        F.max(F.when(F.col("c") == F.col("d"), F.col("to"))).alias("kin"),
+        F.max(F.when(F.col("c") != F.col("d"), F.col("to") / m - F.col("gamma") * F.col("k") * F.col("D_d") / (2 * m * m))).alias("best"))
+    return (memb.join(total, ["gamma", "c"]).join(own, ["gamma", "node"], "left")
+            .select("gamma", "node", (F.col("best") - F.coalesce("kin", F.lit(0.0)) / m
+                                      + F.col("gamma") * F.col("k") * (F.col("D") - F.col("k")) / (2 * m * m)).alias("gain")))
+
+
+def certificate(und: DataFrame, study: DataFrame, tol: float = 1e-7) -> DataFrame:
+    """What must hold of a partition, per γ of ``study`` (gamma, nodo, comunidad, q_gamma), recomputed on the whole
+    graph and without Louvain's code: n_nodes, n_communities; once (each node of the graph has one community),
+    gapless (labels 1..k, by size), connected (as many communities as connected pieces), best_gain (the largest gain of
+    a single move, null if there is none) and stable (it is at most ``tol``), q (Q_γ by its definition) and q_stated (it
+    is the q_gamma of every row). One row per γ; every γ goes through the same jobs."""
+    und = cut(und.select("u", "v", "w"), "certificate-graph")
+    ids = dictionary(und.select("u").union(und.select("v")))
+    und = cut(encoded(und.select("u", "v", "w"), ids, ["u", "v"]), "certificate-und")
+    memb = cut(encoded(study.select("gamma", F.col("nodo").alias("node"), F.col("comunidad").alias("c"), "q_gamma"), ids, ["node"]), "certificate-memb")
+    m, n = und.agg(F.sum("w")).first()[0], ids.count()
+    per_node = memb.groupBy("gamma", "node").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = per_node.groupBy("gamma").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("rows").alias("most"))
+    sizes = memb.groupBy("gamma", "c").agg(F.count(F.lit(1)).alias("size"))
+    later = sizes.select("gamma", (F.col("c") - 1).alias("c"), F.col("size").alias("next"))
+    labels = sizes.join(later, ["gamma", "c"], "left").groupBy("gamma").agg(
+        F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"),
+        F.coalesce(F.bool_and(F.col("size") >= F.col("next")), F.lit(True)).alias("by_size"))
+    flat = memb.select("gamma", "node", "c")
+    pieces = connected_parts(und, flat, n).groupBy("gamma").agg(F.count_distinct("c").alias("pieces"))
+    gains = node_gains(und, flat, m).groupBy("gamma").agg(F.max("gain").alias("best_gain"))
+    q = modularities(und, flat, m).select("gamma", F.col("q_gamma").alias("q"))
+    stated = memb.groupBy("gamma").agg(F.min("q_gamma").alias("q_lo"), F.max("q_gamma").alias("q_hi"))
+    out = nodes
+    for part in (labels, pieces, gains, q, stated):
+        out = out.join(part, "gamma")
+    near = F.greatest(F.abs(F.col("q_hi") - F.col("q")), F.abs(F.col("q_lo") - F.col("q"))) < 1e-9
+    return out.select("gamma", "n_nodes", F.col("k").alias("n_communities"), ((F.col("n_nodes") == n) & (F.col("most") == 1)).alias("once"),
+                      ((F.col("lo") == 1) & (F.col("hi") == F.col("k")) & F.col("by_size")).alias("gapless"),
+                      (F.col("pieces") == F.col("k")).alias("connected"), "best_gain",
+                      (F.coalesce("best_gain", F.lit(0.0)) <= tol + 1e-9).alias("stable"), "q", near.alias("q_stated"))
+
+
 def louvain(und: DataFrame, resolution: float = 1.0, seed: int = 0, tol: float = 1e-7) -> DataFrame:
     """weighted Louvain as DataFrame jobs → (nodo, comunidad, q_gamma),
     labels 1..k by size descending, then smallest member. It ends when no

@@ -22,8 +22,10 @@ def _ts(v: str):
 
 
 def label_paid(forms: DataFrame, since: str = DEFAULT_SINCE) -> DataFrame:
-    """Σ F29_C_89 of valid forms whose period starts on or after ``since``."""
-    f = forms.where(F.col("TIVA_COD_VALIDEZ") == 1)
+    """Σ F29_C_89 of valid forms whose period starts on or after ``since``.
+    The month of ``since`` is also compared as the stored number, which the
+    scan can use; the parsed period decides."""
+    f = forms.where((F.col("TIVA_COD_VALIDEZ") == 1) & (F.col("F29_AGNO_MES_TRIBUTARIO_VO") >= int(since[:7].replace("-", ""))))
     f = f.where(parse_period("F29_AGNO_MES_TRIBUTARIO_VO") >= _ts(since))
     return f.groupBy(F.col("CONT_RUT").alias("cont_rut")).agg(
         F.sum("F29_C_89").alias("total_pago_f29"))
@@ -32,7 +34,7 @@ def label_paid(forms: DataFrame, since: str = DEFAULT_SINCE) -> DataFrame:
 def label_net_vat(documents: DataFrame, since: str = DEFAULT_SINCE) -> DataFrame:
     """VAT received − VAT issued on invoices from ``since`` on. One pass:
     each invoice contributes (issuer, −iva) and (receiver, +iva)."""
-    inv = invoices(documents).where(F.col("dhdr_fch_emis_int") >= _ts(since))
+    inv = invoices(documents, since=since)
     both = inv.select(F.explode(F.array(
         F.struct(F.col("dhdr_rut_emisor").alias("cont_rut"), (-F.col("dhdr_iva")).alias("v")),
         F.struct(F.col("dhdr_rut_recep").alias("cont_rut"), F.col("dhdr_iva").alias("v")))).alias("x"))
@@ -59,6 +61,18 @@ def label_doc_count(documents: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_documentos")))
 
 
+def label_invoices(documents: DataFrame, since: str = DEFAULT_SINCE) -> DataFrame:
+    """E2 and E4 in one scan of the invoices: net VAT from ``since`` on (null
+    without such an invoice) and the number of invoices issued (null without)."""
+    inv = invoices(documents)
+    late = F.col("dhdr_fch_emis_int") >= _ts(since)
+    both = inv.select(F.explode(F.array(
+        F.struct(F.col("dhdr_rut_emisor").alias("cont_rut"), F.when(late, -F.col("dhdr_iva")).alias("v"), F.lit(1).alias("n")),
+        F.struct(F.col("dhdr_rut_recep").alias("cont_rut"), F.when(late, F.col("dhdr_iva")).alias("v"), F.lit(0).alias("n")))).alias("x"))
+    sums = both.groupBy(F.col("x.cont_rut").alias("cont_rut")).agg(F.sum("x.v").alias("IVA_neto"), F.sum("x.n").cast("long").alias("n"))
+    return sums.select("cont_rut", "IVA_neto", F.when(F.col("n") > 0, F.col("n")).alias("n_documentos"))
+
+
 def label_lifetime(taxpayers: DataFrame, as_of: str) -> DataFrame:
     """E5: age in days at ``as_of``; null when unknown or in the future.
     Unique per entity (max)."""
@@ -83,13 +97,13 @@ LABEL_COLUMNS = ["cont_rut", "score", "total_pago_f29", "IVA_neto", "unidad_regi
 def enrich(state: DataFrame, forms: DataFrame, documents: DataFrame, businesses: DataFrame,
            units: DataFrame, taxpayers: DataFrame, seeds: DataFrame,
            since: str = DEFAULT_SINCE, as_of: str | None = None) -> DataFrame:
-    """All labels on the scored nodes, in the reference's column order."""
+    """All labels on the scored nodes, in the reference's column order.
+    The invoices are scanned once for both of their labels."""
     if as_of is None:
         as_of = str(state.sparkSession.sql("select cast(current_timestamp() as string) as t").first()["t"])
     out = state.select("cont_rut", "score")
-    for lbl in (label_paid(forms, since), label_net_vat(documents, since),
-                label_region(businesses, units), label_doc_count(documents),
-                label_lifetime(taxpayers, as_of)):
+    for lbl in (label_paid(forms, since), label_invoices(documents, since),
+                label_region(businesses, units), label_lifetime(taxpayers, as_of)):
         out = out.join(lbl, "cont_rut", "left")
     out = label_seed(out, seeds)
     return out.select(*LABEL_COLUMNS)

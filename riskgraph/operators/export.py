@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from ..functions.skew import semi_join
+from ..sources.io import cut
+
 NODE_PROPERTIES = ("cont_rut", "score", "total_pago_f29", "IVA_neto", "unidad_regional", "n_documentos",
                    "lifetime", "alerta_inicial", "comunidad")
 
@@ -34,9 +37,8 @@ def export_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """An edge is loaded only if both end nodes exist; duplicate pairs
     merge into one relation whose ``Fuerza`` is the largest weight (a
     deterministic stand-in for the loader's last write)."""
-    ids = nodes.select(F.col("cont_rut").alias("__id")).distinct()
-    e = edges.join(ids, edges.emisor == ids.__id, "left_semi")
-    e = e.join(ids, e.receptor == ids.__id, "left_semi")
+    ids = cut(nodes.select("cont_rut").distinct(), "export-ids")
+    e = semi_join(semi_join(edges, ids, "emisor"), ids, "receptor")
     return (e.groupBy("emisor", "receptor").agg(F.max(F.col("Fi").cast("double")).alias("Fuerza"))
             .withColumn("relation", F.lit("emite_a")))
 

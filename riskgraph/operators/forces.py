@@ -1,18 +1,20 @@
 """Forces: weighted issuer → receiver edges.
 
 Every force is one row per (emisor, receptor) with ``Fi`` in [0, 1].
-Per-receiver totals are computed as a partial aggregate and joined back
-(not a window): a receiver holding a third of all arcs is then split by the
-adaptive skew-join instead of sorting all its arcs in one task."""
+Per-receiver totals are partial aggregates joined back with heavy receivers
+salted (functions/skew.py), not a window: a receiver holding a third of all
+arcs is dealt over many tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import parse_yyyymmdd
+from ..functions.expr import bounded_broadcast, parse_yyyymmdd
+from ..functions.skew import with_totals
+from ..sources.io import cut
 
 # Invoice document types (33 = invoice, 34 = exempt invoice).
 INVOICE_TYPES = ("33", "34")
@@ -44,8 +46,7 @@ def force_vat(arcs: DataFrame, issuer: str = "PARU_RUT_E0", receiver: str = "PAR
     """Fi = round(VAT / Σ_receiver VAT, 4) over positive arcs. Rows that
     round to 0 are kept (only displays filter Fi > 0)."""
     pos = positive_arcs(arcs, amount).select(issuer, receiver, amount)
-    tot = receiver_totals(arcs, receiver, amount)
-    return (pos.join(tot, receiver)
+    return (with_totals(pos, receiver, [F.sum(amount).alias("Total_IVA")])
             .select(F.col(issuer).alias("emisor"), F.col(receiver).alias("receptor"),
                     F.round(F.col(amount) / F.col("Total_IVA"), digits).alias("Fi")))
 
@@ -53,9 +54,15 @@ def force_vat(arcs: DataFrame, issuer: str = "PARU_RUT_E0", receiver: str = "PAR
 # -- representative force ------------------------------------------------------
 
 def invoices(documents: DataFrame, types: Iterable[str] = INVOICE_TYPES,
-             date_col: str = "dhdr_fch_emis_int") -> DataFrame:
-    """Invoice-type documents, int yyyyMMdd issue date → timestamp."""
-    return (documents.where(F.col("dtdc_codigo").isin(*types))
+             date_col: str = "dhdr_fch_emis_int", since: str | None = None) -> DataFrame:
+    """Invoice-type documents, int yyyyMMdd issue date → timestamp;
+    with ``since``, only those issued from then on. The day of ``since`` is
+    also compared as the whole number that is stored, which the scan can use;
+    the parsed date decides."""
+    rows = documents.where(F.col("dtdc_codigo").isin(*types))
+    if since is not None:
+        rows = rows.where((F.col(date_col) >= int(since[:10].replace("-", ""))) & (parse_yyyymmdd(date_col) >= F.lit(since).cast("timestamp")))
+    return (rows
             .select("dhdr_rut_emisor", "dhdr_rut_recep", "dhdr_iva", "dhdr_mnt_total",
                     parse_yyyymmdd(date_col).alias(date_col)))
 
@@ -67,17 +74,52 @@ def docs_representatives(documents: DataFrame, reps: DataFrame) -> DataFrame:
     return inv.join(reps, inv.dhdr_rut_recep == reps.CONT_RUT)
 
 
-def docs_with_active_rep(documents: DataFrame, reps: DataFrame, seeds: DataFrame) -> DataFrame:
+#: Receivers of many terms that are broadcast at most; more are joined by shuffle.
+MAX_CUT_BROADCAST = 100_000
+#: Terms of office of one receiver from which its terms are cut at the edges of months.
+MANY_TERMS = 64
+
+
+def _month(c) -> Column:
+    return F.year(c) * 12 + F.month(c)
+
+
+def term_index(reps: DataFrame, invoices: DataFrame, many_terms: int = MANY_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(terms, receivers): terms of office with ``__period``, and the receivers whose terms are cut (``__cut``).
+
+    A receiver with very many terms would meet each of its invoices with each of its terms. Its terms are cut at the
+    edges of the months that have invoices at all, and an invoice meets those of its month. Other receivers have the
+    one period 0: a term of theirs stays one row. At most 1/``many_terms`` of the terms' number are such receivers."""
+    r = reps.select("CONT_RUT", "CONT_RUT_REPRESENTANTE", "REPR_FECHA_INICIO_VO", "REPR_FECHA_TERMINO_VO")
+    many = r.groupBy("CONT_RUT").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many_terms).select("CONT_RUT", F.lit(True).alias("__cut"))
+    many = cut(many, "receivers-of-many-terms")
+    if many.limit(1).count() == 0:
+        return r.withColumn("__period", F.lit(0)), many
+    d = F.col("dhdr_fch_emis_int")
+    first, last = invoices.agg(F.min(_month(d)), F.max(_month(d))).first()  # two numbers
+    lo = F.greatest(_month(F.col("REPR_FECHA_INICIO_VO")), F.lit(first or 0))
+    hi = F.least(F.coalesce(_month(F.col("REPR_FECHA_TERMINO_VO")), F.lit(last or 0)), F.lit(last or 0))
+    periods = F.when(F.col("__cut"), F.when(lo <= hi, F.sequence(lo, hi))).otherwise(F.array(F.lit(0)))
+    return r.join(many, "CONT_RUT", "left").withColumn("__period", F.explode(periods)).drop("__cut"), many
+
+
+def docs_with_active_rep(documents: DataFrame, reps: DataFrame, seeds: DataFrame, many_terms: int = MANY_TERMS) -> DataFrame:
     """Invoice × representative rows where the representative was in
     office on the issue date (open end = still in office) and VAT > 0, with
     ``alerted`` = the representative is a seed. A document with k active
-    representatives counts k times."""
+    representatives counts k times.
+
+    An equi-join on (receiver, period) with the interval as the rest of the
+    condition; see :func:`term_index` for receivers with many terms."""
     inv = invoices(documents).where(F.col("dhdr_iva") > 0)
-    r = reps.select("CONT_RUT", "CONT_RUT_REPRESENTANTE", "REPR_FECHA_INICIO_VO", "REPR_FECHA_TERMINO_VO")
+    terms, many = term_index(reps, inv, many_terms)
+    r = terms.withColumnRenamed("__period", "__term_period")
     s = seeds.select(F.col("cont_rut").alias("__seed"), F.lit(True).alias("alerted")).dropDuplicates(["__seed"])
     d = F.col("dhdr_fch_emis_int")
+    inv = inv.join(bounded_broadcast(many.select(F.col("CONT_RUT").alias("dhdr_rut_recep"), "__cut"), MAX_CUT_BROADCAST), "dhdr_rut_recep", "left") \
+        .withColumn("__period", F.when(F.col("__cut"), _month(d)).otherwise(F.lit(0))).drop("__cut")
     joined = inv.join(
-        r, (inv.dhdr_rut_recep == r.CONT_RUT) & (d >= r.REPR_FECHA_INICIO_VO)
+        r, (inv.dhdr_rut_recep == r.CONT_RUT) & (F.col("__period") == F.col("__term_period")) & (d >= r.REPR_FECHA_INICIO_VO)
         & ((d <= r.REPR_FECHA_TERMINO_VO) | r.REPR_FECHA_TERMINO_VO.isNull()))
     return (joined.join(s, joined.CONT_RUT_REPRESENTANTE == s.__seed, "left")
             .select("dhdr_rut_emisor", "dhdr_rut_recep", "dhdr_iva", "dhdr_fch_emis_int",

@@ -7,6 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import distributed_rank
+from ..functions.skew import semi_join
+from ..sources.io import cut
+
 RELATION = "emite_a"
 
 
@@ -16,10 +20,11 @@ def select_communities(labelled: DataFrame, ids: Iterable[int], key: str = "comu
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame, node: str = "cont_rut") -> DataFrame:
-    """Edges whose two ends are both in ``nodes`` (two semi joins)."""
-    ids = nodes.select(F.col(node).alias("__id")).distinct()
-    out = edges.join(ids, edges.emisor == ids.__id, "left_semi")
-    return out.join(ids, out.receptor == ids.__id, "left_semi")
+    """Edges whose two ends are both in ``nodes`` (two semi joins; an end
+    that very many edges share is dealt over many tasks)."""
+    ids = cut(nodes.select(node).distinct(), "induced-ids")
+    order = edges.columns
+    return semi_join(semi_join(edges, ids, "emisor"), ids, "receptor").select(*order)
 
 
 def relations(edges: DataFrame) -> DataFrame:
@@ -42,6 +47,14 @@ def distinct_communities(nodes: DataFrame, key: str = "comunidad") -> DataFrame:
     return nodes.select(key).distinct()
 
 
+def community_index(nodes: DataFrame, key: str = "comunidad") -> DataFrame:
+    """Distinct community values with their place (``indice``, from 0, null
+    last), as a list shows them; places by distributed rank, no global window."""
+    distinct = distinct_communities(nodes, key)
+    order = [F.col(key).isNull().asc(), F.col(key).asc()]
+    return distributed_rank(distinct, order, name="place").select((F.col("place") - 1).cast("long").alias("indice"), key)
+
+
 def community_edges(edges: DataFrame, nodes: DataFrame, community, key: str = "comunidad") -> DataFrame:
     """Relations with the source or the target in ``community``; the id
     is compared as text, as stored by the graph loader; the source's seed

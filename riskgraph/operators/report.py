@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import describe
-from .profile import histogram
+from ..functions.skew import heavy_keys, salted_join
+from ..sources.io import cut
 
 NUMERIC_LABELS = ("score", "total_pago_f29", "IVA_neto", "n_documentos", "lifetime", "alerta_inicial",
                   "modularidad")
@@ -18,8 +19,9 @@ NUMERIC_LABELS = ("score", "total_pago_f29", "IVA_neto", "n_documentos", "lifeti
 
 def min_size(df: DataFrame, n: int = 15, key: str = "comunidad") -> DataFrame:
     """G1: rows of communities with at least ``n`` members (null dropped)."""
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
-    return df.join(sizes.where(F.col("__size") >= n).select(key), key, "left_semi")
+    sizes = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows")), "community-sizes")
+    large = sizes.where(F.col("__rows") >= n).select(key)
+    return salted_join(df, large, key, heavy_keys(sizes, key, "__rows"), "left_semi")
 
 
 def rank_communities(df: DataFrame, key: str = "comunidad", score: str = "score") -> DataFrame:
@@ -61,10 +63,15 @@ def community_describe(df: DataFrame, key: str = "comunidad", columns: Sequence[
 def community_hist(df: DataFrame, bins: int = 10, key: str = "comunidad", hue: str = "alerta_inicial") -> DataFrame:
     """Per community, ``bins`` score bins over the community's range,
     counts split by the seed flag (stacked histogram data)."""
-    edges = histogram(df, "score", bins, by=[key]).select(key, "bin", "bin_lo", "bin_hi")
     x = F.col("score").cast("double")
-    rng = df.groupBy(key).agg(F.min(x).alias("__mn"), F.max(x).alias("__mx"))
-    j = df.where(x.isNotNull()).join(rng, key)
+    # range and rows of each community: written once, for the bins, their edges and the heavy communities alike
+    rng = cut(df.where(x.isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(
+        F.min(x).alias("__mn"), F.max(x).alias("__mx"), F.count(F.lit(1)).alias("__rows")), "community-ranges")
+    j = salted_join(df.where(x.isNotNull()), rng, key, heavy_keys(rng, key, "__rows"))
+    width = (F.col("__mx") - F.col("__mn")) / bins
+    edges = rng.select(key, "__mn", "__mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
+        key, "bin", (F.col("__mn") + F.col("bin") * width).alias("bin_lo"),
+        F.when(F.col("bin") == bins - 1, F.col("__mx")).otherwise(F.col("__mn") + (F.col("bin") + 1) * width).alias("bin_hi"))
     b = F.when(F.col("__mx") == F.col("__mn"), F.lit(0)).otherwise(
         F.least(F.floor((x - F.col("__mn")) * bins / (F.col("__mx") - F.col("__mn"))), F.lit(bins - 1))).cast("int")
     counts = j.groupBy(key, b.alias("bin"), hue).agg(F.count(F.lit(1)).alias("count"))

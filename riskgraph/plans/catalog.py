@@ -8,13 +8,16 @@ and every computed column is aliased identically."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.expr import r6
 from ..operators import forces, propagate, seeds
-from ..sources import fixtures
+from ..session import scratch_path
+from ..sources import checked, fixtures, io, loader, publish
 from ..sources.io import preview
 from . import oracle as O
 from .oracle import R6
@@ -168,26 +171,26 @@ O.state_cte("rep", 15)
 @q("receiver_f0", O.build(f"select receptor, {R6('f0', 'f0')}, {R6('sFi', 'sFi')} from combined_infl",
                           ["combined_infl"]))
 def q_receiver_f0(spark, d):
-    infl = propagate.receiver_influence(Inputs(spark, d).force_combined())
+    infl = propagate.receiver_influence(Inputs(spark, d).edges("combined"))
     return infl.select("receptor", r6("f0").alias("f0"), r6("sFi").alias("sFi"))
 
 
 @q("edge_influence", O.build(f"""select emisor, receptor, {R6('Fi', 'Fi')}, {R6('f0', 'f0')}, {R6('f', 'f')}
  from combined_prep""", ["combined_prep"]))
 def q_edge_influence(spark, d):
-    p = propagate.prepare_edges(Inputs(spark, d).force_combined())
+    p = propagate.prepare_edges(Inputs(spark, d).edges("combined"))
     return p.select("emisor", "receptor", r6("Fi").alias("Fi"), r6("f0").alias("f0"), r6("f").alias("f"))
 
 
 @q("node_universe", O.build("select cont_rut from combined_nodes", ["combined_nodes"]))
 def q_node_universe(spark, d):
-    return propagate.node_universe(Inputs(spark, d).force_combined())
+    return propagate.node_universe(Inputs(spark, d).edges("combined"))
 
 
 @q("initial_state", O.build("select cont_rut, score from combined_s0", ["combined_s0"]))
 def q_initial_state(spark, d):
     inp = Inputs(spark, d)
-    return propagate.initial_state(propagate.node_universe(inp.force_combined()), inp.seeds())
+    return propagate.initial_state(propagate.node_universe(inp.edges("combined")), inp.seeds())
 
 
 def _state_query(scenario: str, rounds: int):
@@ -238,6 +241,35 @@ def q_round_metrics(spark, d):
     return propagate.round_metrics(run_scenario(spark, d, "combined", rounds=15).states)
 
 
+def _round_describe_sql(rounds: int) -> str:
+    names = [f"combined_s{k}" for k in range(1, rounds + 1)]
+    rows = "\nunion all\n".join(f"select {k} as iterations, score from {n}" for k, n in enumerate(names, 1))
+    return O.build(f"""select iterations, count(score) as count, {R6('avg(score)', 'mean')}, {R6('stddev_samp(score)', 'std')},
+ {R6('min(score)', 'min')}, {R6('quantile_cont(score, 0.25)', 'q25')}, {R6('quantile_cont(score, 0.5)', 'q50')},
+ {R6('quantile_cont(score, 0.75)', 'q75')}, {R6('max(score)', 'max')} from ({rows}) group by iterations""", names)
+
+
+@q("describe_rounds", _round_describe_sql(15))
+def q_describe_rounds(spark, d):
+    """The describe of every round."""
+    df = propagate.describe_rounds(run_scenario(spark, d, "combined", rounds=15).states)
+    return df.select("iterations", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@q("propagate_frontier", O.build(f"select cont_rut, {R6('score', 'score')} from combined_s15", ["combined_s15"]))
+def q_propagate_frontier(spark, d):
+    """D6 by frontier rounds: only receivers that a change can reach are summed."""
+    st = run_scenario(spark, d, "combined", rounds=15, frontier=True).state
+    return st.select("cont_rut", r6("score").alias("score"))
+
+
+@q("round_metrics_in_loop", _round_metrics_sql("combined", 15))
+def q_round_metrics_in_loop(spark, d):
+    """D7 taken as each round ends, with no more than two states kept."""
+    inp = Inputs(spark, d)
+    return propagate.propagate(inp.edges("combined"), inp.seeds(), rounds=15, keep_states=False).metrics
+
+
 @q("graph_counts", O.build("""select
  (select count(*) from combined_prep) as n_edges,
  (select count(*) from combined_nodes) as n_nodes,
@@ -250,7 +282,7 @@ def q_round_metrics(spark, d):
                            ["combined_s15", "seeds"]))
 def q_graph_counts(spark, d):
     inp = Inputs(spark, d)
-    e = inp.force_combined()
+    e = inp.edges("combined")
     sd = inp.seeds().select("cont_rut")
     st = run_scenario(spark, d, "combined", rounds=15).state
 
@@ -270,7 +302,7 @@ def q_graph_counts(spark, d):
 
 # ====================================================================== labels
 from ..functions.expr import describe  # noqa: E402
-from ..operators import community, enrich, export, graphops, profile, report  # noqa: E402
+from ..operators import community, edgestore, enrich, export, graphops, profile, report  # noqa: E402
 from .scenarios import GAMMAS, fixed_membership, labelled_nodes, louvain_membership, resolution_study  # noqa: E402,E501
 
 SINCE, AS_OF = fixtures.SINCE, fixtures.AS_OF
@@ -308,7 +340,7 @@ def q_label_lifetime(spark, d):
  from combined_nodes n left join seeds s on n.cont_rut = s.cont_rut""", ["combined_nodes", "seeds"]))
 def q_label_seed(spark, d):
     inp = Inputs(spark, d)
-    return enrich.label_seed(propagate.node_universe(inp.force_combined()), inp.seeds())
+    return enrich.label_seed(propagate.node_universe(inp.edges("combined")), inp.seeds())
 
 
 # Nullable integer labels are reported as double, as in the reference's
@@ -357,14 +389,14 @@ O.cte("labelled", f"""select e.*, m.comunidad, (select modularidad from fixed_q)
 
 @q("undirected", O.build(f"select u, v, {R6('w', 'w')} from und", ["und"]))
 def q_undirected(spark, d):
-    return community.to_undirected(Inputs(spark, d).force_combined()).select("u", "v", r6("w").alias("w"))
+    return Inputs(spark, d).undirected().select("u", "v", r6("w").alias("w"))
 
 
 @q("modularity", O.build(f"select {R6('modularidad', 'modularidad')} from fixed_q", ["fixed_q"]))
 def q_modularity(spark, d):
     inp = Inputs(spark, d)
-    und = community.to_undirected(inp.force_combined())
-    mb = fixed_membership(propagate.node_universe(inp.force_combined()))
+    und = inp.undirected()
+    mb = fixed_membership(propagate.node_universe(inp.edges("combined")))
     return community.modularity(und, mb, 1.0, node="nodo").select(r6("modularidad").alias("modularidad"))
 
 
@@ -380,29 +412,97 @@ def q_attach_communities(spark, d):
     return _lab_cols(labelled_nodes(spark, d))
 
 
-@q("louvain")
-def q_louvain(spark, d):
-    """F2 at resolution 0.5 (the main run) on the combined force graph."""
-    return louvain_membership(spark, d, 0.5, 0)
+def _nodes_of(cte: str) -> str:
+    return f"(select count(*) from (select u from {cte} union select v from {cte}))"
 
 
-@q("louvain_labelled")
-def q_louvain_labelled(spark, d):
-    """F2 + F3 + F4: labelled nodes with Louvain communities and Q at γ=1."""
-    mb = louvain_membership(spark, d, 0.5, 0)
-    return labelled_nodes(spark, d, membership=mb.select("nodo", "comunidad"))
+def _certificate_sql(gammas) -> str:
+    values = ", ".join(f"({g}::double)" for g in gammas)
+    return O.build(f"""select gamma, {_nodes_of('und')} as n_nodes, true as once, true as gapless, true as connected,
+ true as stable, true as q_stated from (values {values}) g(gamma)""", ["und"])
+
+
+def _certified(spark, d, study):
+    c = community.certificate(Inputs(spark, d).undirected(), study)
+    return c.select("gamma", "n_nodes", "once", "gapless", "connected", "stable", "q_stated")
 
 
-@q("resolution_study")
+@q("louvain", _certificate_sql([0.5]))
+def q_louvain(spark, d):
+    """F2 at resolution 0.5 (the main run) on the combined force graph, as its certificate: every node has one
+    community, labels run 1..k by size, communities are connected, no single move gains, Q is as stated."""
+    return _certified(spark, d, louvain_membership(spark, d, 0.5, 0).withColumn("gamma", F.lit(0.5)))
+
+
+@q("louvain_labelled", O.build(f"select {ENRICH_COLS_SQL}, true as en_comunidad, true as modularidad_cierta from {ENR}", [ENR]))
+def q_louvain_labelled(spark, d):
+    """F2 + F3 + F4: labelled nodes with Louvain communities and Q at γ=1. Which community is Louvain's to choose; that
+    each node has one, and the Q of the result by F3's other path, are checked."""
+    mb = io.cut(louvain_membership(spark, d, 0.5, 0).select("nodo", "comunidad"), "louvain-members")
+    lab = labelled_nodes(spark, d, membership=mb)
+    memb = mb.select(F.lit(1.0).alias("gamma"), F.col("nodo").alias("node"), F.col("comunidad").alias("c"))
+    und = Inputs(spark, d).undirected()
+    q1 = community.modularities(und, memb, und.agg(F.sum("w")).first()[0]).select("q_1").scalar()
+    extra = lab.select("cont_rut", F.col("comunidad").isNotNull().alias("en_comunidad"),
+                       (F.abs(F.col("modularidad") - q1) < 1e-9).alias("modularidad_cierta"))
+    return _enrich_cols(lab).join(extra, "cont_rut")
+
+
+@q("resolution_study", _certificate_sql(GAMMAS))
 def q_resolution_study(spark, d):
-    """Louvain at γ = 0.0, 0.1, …, 1.0, each with Q at γ = 1."""
-    return resolution_study(spark, d)
+    """Louvain at γ = 0.0, 0.1, …, 1.0, as the certificate of each partition (see q_louvain)."""
+    return _certified(spark, d, resolution_study(spark, d))
 
 
-@q("study_table")
+@q("study_table", O.build(f"select {ENRICH_COLS_SQL}, 11 as comunidades, 11 as modularidades_ciertas from {ENR}", [ENR]))
 def q_study_table(spark, d):
-    """labelled nodes + one community and one modularity column per γ."""
-    return community.study_table(labelled_nodes(spark, d), resolution_study(spark, d), GAMMAS)
+    """labelled nodes with one community and one modularity column per γ: how many of the first are there, and how
+    many of the second are Q at γ = 1 of that partition, computed anew."""
+    study = resolution_study(spark, d)
+    wide = community.study_table(labelled_nodes(spark, d), study, GAMMAS)
+    und = Inputs(spark, d).undirected()
+    memb = study.select("gamma", F.col("nodo").alias("node"), F.col("comunidad").alias("c"))
+    q1 = io.cut(community.modularities(und, memb, und.agg(F.sum("w")).first()[0]), "study-q")  # one row per γ
+    there = sum((F.col(f"`comunidad_{g}`").isNotNull().cast("int") for g in GAMMAS), F.lit(0))
+    right = sum((F.coalesce(F.abs(F.col(f"`modularidad_{g}`") - q1.where(F.col("gamma") == g).select("q_1").scalar()) < 1e-9, F.lit(False)).cast("int")
+                 for g in GAMMAS), F.lit(0))
+    return _enrich_cols(wide).join(wide.select("cont_rut", there.alias("comunidades"), right.alias("modularidades_ciertas")), "cont_rut")
+
+
+#: Components from the nodes that no neighbour is smaller than: the smallest of a component is one of them.
+_REACH = """with recursive ends as (select u as a, v as b from und union select v, u from und),
+ low as (select a from ends group by a having min(b) >= a),
+ reach(node, low) as (select a, a from low union select e.b, r.low from reach r join ends e on r.node = e.a)
+ select node, min(low) as component from reach group by node"""
+
+
+@q("components", O.build(f"select * from ({_REACH})", ["und"]))
+def q_components(spark, d):
+    """The γ = 0 limit of F2 by itself: connected components of the whole graph."""
+    return community.connected_components(Inputs(spark, d).undirected()).select("node", F.col("c").alias("component"))
+
+
+@q("louvain_zero", O.build(f"""select t.node as nodo, k.comunidad from ({_REACH}) t join
+ (select component, row_number() over (order by count(*) desc, component) as comunidad from ({_REACH}) group by component) k
+ on t.component = k.component""", ["und"]))
+def q_louvain_zero(spark, d):
+    """F2 at γ = 0: components, labelled by size, through the same code as every γ."""
+    return community.louvain(Inputs(spark, d).undirected(), resolution=0.0).select("nodo", "comunidad")
+
+
+def _hashed(c: str):
+    """A text id in Base64, as the published extracts have: the order is not that of the numbers."""
+    return F.base64(F.unhex(F.md5(F.col(c).cast("string"))))
+
+
+@q("louvain_text_ids", _certificate_sql([0.0, 0.5, 1.0]))
+def q_louvain_text_ids(spark, d):
+    """F1-F3, F5 on Base64 ids: the same graph with every id hashed to text."""
+    e = Inputs(spark, d).edges("combined").select(_hashed("emisor").alias("emisor"), _hashed("receptor").alias("receptor"), "Fi")
+    und = io.cut(community.to_undirected(e), "text-ids")
+    study = io.cut(community.partitions(und, [0.0, 0.5, 1.0]), "text-ids-study")
+    c = community.certificate(und, study)
+    return c.select("gamma", "n_nodes", "once", "gapless", "connected", "stable", "q_stated")
 
 
 # ====================================================================== report
@@ -618,6 +718,12 @@ def q_compare_scenarios(spark, d):
                                       for sc in ("vat", "rep", "combined")})
 
 
+# KDE of every positive score too: the work of a task does not grow with distinct values
+q("kde_positive", O.build(_KDE_SQL.format(src="new_comb").replace("score >= 0.5", "score > 0"), ["new_comb"]))(
+    lambda spark, d: profile.kde(_new_comb(spark, d).where(F.col("score") > 0), "score", 200).select(
+        F.col("i").cast("int").alias("i"), r6("x").alias("x"), r6("density").alias("density")))
+
+
 # =================================================================== graph ops
 SAMPLE_COMMUNITIES = (3, 7, 11)
 _ids = ", ".join(str(i) for i in SAMPLE_COMMUNITIES)
@@ -634,7 +740,7 @@ def q_select_communities(spark, d):
                             ["f_comb", "sample_nodes"]))
 def q_induced_edges(spark, d):
     nodes = graphops.select_communities(labelled_nodes(spark, d), SAMPLE_COMMUNITIES)
-    e = graphops.induced_edges(Inputs(spark, d).force_combined(), nodes)
+    e = graphops.induced_edges(Inputs(spark, d).edges("combined"), nodes)
     return e.select("emisor", "receptor", r6("Fi").alias("Fi"))
 
 
@@ -644,7 +750,7 @@ O.cte("exp_edges", """select emisor, receptor, max(cast(Fi as double)) as Fuerza
 
 
 def _export_edges(spark, d):
-    return export.export_edges(Inputs(spark, d).force_combined(), labelled_nodes(spark, d))
+    return export.export_edges(Inputs(spark, d).edges("combined"), labelled_nodes(spark, d))
 
 
 @q("relations", O.build("select emisor as source, 'emite_a' as relation, receptor as target from exp_edges",
@@ -660,6 +766,13 @@ def q_relations_communities(spark, d):
     return graphops.relations_with_communities(_export_edges(spark, d), labelled_nodes(spark, d))
 
 
+@q("community_index", O.build("""select row_number() over (order by comunidad nulls last) - 1 as indice, comunidad
+ from (select distinct comunidad from labelled)""", ["labelled"]))
+def q_community_index(spark, d):
+    """Distinct communities with their place in the list."""
+    return graphops.community_index(labelled_nodes(spark, d))
+
+
 @q("distinct_communities", O.build("select distinct comunidad from labelled", ["labelled"]))
 def q_distinct_communities(spark, d):
     return graphops.distinct_communities(labelled_nodes(spark, d))
@@ -696,6 +809,90 @@ def q_export_edges(spark, d):
     return _export_edges(spark, d).select("emisor", "receptor", r6("Fuerza").alias("Fuerza"), "relation")
 
 
+@q("community_edges_stored", ORACLE["community_edges"])
+def q_community_edges_stored(spark, d):
+    """I6 from the store by communities: a row and a column of its grid are read."""
+    return edgestore.community_edges(spark, _edge_store(spark, d), EDGE_COMMUNITY)
+
+
+@q("induced_edges_stored", ORACLE["induced_edges"])
+def q_induced_edges_stored(spark, d):
+    """I1 + I2 from the store: only the cells of the chosen communities are read."""
+    e = edgestore.induced_edges(spark, _edge_store(spark, d), SAMPLE_COMMUNITIES)
+    return e.select("emisor", "receptor", r6("Fi").alias("Fi"))
+
+
+def _edge_store(spark, d):
+    path = scratch_path(spark, "edge-store")
+    edgestore.write_edge_store(Inputs(spark, d).edges("combined"), labelled_nodes(spark, d), path)
+    return path
+
+
+@q("loaded_nodes", ORACLE["export_nodes"])
+def q_loaded_nodes(spark, d):
+    """A8 through the batch loader, written twice: as written once."""
+    nodes, folder = export.export_nodes(labelled_nodes(spark, d)), scratch_path(spark, "loaded-nodes")
+    for sequence in (1, 2):
+        loader.load(nodes, folder, ["cont_rut"], sequence)
+    return loader.read_loaded(spark, folder, nodes.schema)
+
+
+@q("loaded_edges", O.build(f"""select emisor, receptor, {R6('case when emisor < receptor then Fuerza / 2 else Fuerza end', 'Fuerza')},
+ 'emite_a' as relation from exp_edges""", ["exp_edges"]))
+def q_loaded_edges(spark, d):
+    """A9 through the batch loader: a later load replaces the relations that it names and leaves the others."""
+    edges, folder = io.cut(_export_edges(spark, d), "edges-to-load"), scratch_path(spark, "loaded-edges")
+    later = edges.where("emisor < receptor").withColumn("Fuerza", F.col("Fuerza") / 2)
+    loader.load(later, folder, ["emisor", "receptor"], 7)
+    loader.load(edges, folder, ["emisor", "receptor"], 3)  # comes last, but is the earlier one
+    return loader.read_loaded(spark, folder, edges.schema).select("emisor", "receptor", r6("Fuerza").alias("Fuerza"), "relation")
+
+
+@q("export_edges_of_paying", O.build(f"""select emisor, receptor, {R6('max(cast(Fi as double))', 'Fuerza')}, 'emite_a' as relation from f_comb
+ where emisor in (select cont_rut from labelled where total_pago_f29 is not null)
+   and receptor in (select cont_rut from labelled where total_pago_f29 is not null) group by emisor, receptor""", ["f_comb", "labelled"]))
+def q_export_edges_of_paying(spark, d):
+    """A9 where ends are missing: only entities with a tax payment are loaded as nodes, and edges to others fall out."""
+    nodes = labelled_nodes(spark, d).where("total_pago_f29 is not null")
+    return export.export_edges(Inputs(spark, d).edges("combined"), nodes).select("emisor", "receptor", r6("Fuerza").alias("Fuerza"), "relation")
+
+
+#: Nodes of two extracts that overlap: every entity, and once more those that are seeds.
+O.cte("two_extracts", "select cont_rut, score, 'todos' as origen from labelled union all select cont_rut, score, 'semillas' from labelled where alerta_inicial = 1",
+      ("labelled",))
+
+
+@q("refused_nodes", O.build(f"""select cont_rut, {R6('score', 'score')}, origen, count(*) over (partition by cont_rut) as key_rows from two_extracts
+ qualify key_rows > 1""", ["two_extracts"]))
+def q_refused_nodes(spark, d):
+    """A10: a node table with duplicate ids is refused; the rows at fault are kept."""
+    lab = labelled_nodes(spark, d)
+    both = lab.select("cont_rut", "score", F.lit("todos").alias("origen")).union(
+        lab.where("alerta_inicial = 1").select("cont_rut", "score", F.lit("semillas").alias("origen")))
+    got = publish.publish_unique(both, scratch_path(spark, "publish"), "cont_rut")
+    if got.ok:
+        raise ValueError("duplicate ids were published")
+    return spark.read.parquet(got.rejects).select("cont_rut", r6("score").alias("score"), "origen", "key_rows")
+
+
+@q("published_nodes", O.build(f"select {ENRICH_COLS_SQL} from {ENR}", [ENR]))
+def q_published_nodes(spark, d):
+    """A10: a table that keeps the rule is published whole."""
+    folder = scratch_path(spark, "publish")
+    lab = labelled_nodes(spark, d)
+    got = publish.publish_unique(lab, folder, "cont_rut")
+    if not got.ok:
+        raise ValueError(f"{got.n_violations} ids are not unique: {got.rejects}")
+    return _enrich_cols(publish.read_published(spark, folder))
+
+
+@q("groups_min_size", O.build(f"""select {LAB_COLS_SQL} from labelled where n_documentos in (select n_documentos from labelled
+ where n_documentos is not null group by n_documentos having count(*) >= 4)""", ["labelled"]))
+def q_groups_min_size(spark, d):
+    """G1 on groups of all sizes: entities by number of invoices, groups of at least four."""
+    return _lab_cols(report.min_size(labelled_nodes(spark, d), 4, key="n_documentos"))
+
+
 @q("node_key_violations", O.build("select cont_rut, count(*) as n from labelled group by cont_rut having count(*) > 1",
                                   ["labelled"]))
 def q_node_key_violations(spark, d):
@@ -703,8 +900,6 @@ def q_node_key_violations(spark, d):
 
 
 # ================================================= round trips through formats
-from ..session import scratch_path  # noqa: E402
-from ..sources import io  # noqa: E402
 
 FORCE_SQL = O.build(f"select emisor, receptor, {R6('Fi', 'Fi')} from f_vat", ["f_vat"])
 
@@ -731,6 +926,40 @@ def q_csv_untyped(spark, d):
     return _force_cols(forces.normalise_edges(raw))
 
 
+#: A raw extract of the arcs with ';' and a decimal comma, in which some lines are broken: one field too few, a word for the
+#: amount, no receiver. Which ones follows from the data.
+O.cte("raw_arcs", """select case when Monto_IVA % 7 = 3 then concat(PARU_RUT_E0, ';', PARU_RUT_E2)
+  else concat(PARU_RUT_E0, ';', case when Monto_IVA % 5 = 2 then '' else cast(PARU_RUT_E2 as varchar) end, ';',
+              case when Monto_IVA % 11 = 4 then 'sin monto' else concat(Monto_IVA, ',25') end) end as line,
+ PARU_RUT_E0, PARU_RUT_E2, Monto_IVA,
+ case when Monto_IVA % 7 = 3 then 'columns' when Monto_IVA % 5 = 2 and Monto_IVA % 11 = 4 then 'receptor,Fi'
+      when Monto_IVA % 5 = 2 then 'receptor' when Monto_IVA % 11 = 4 then 'Fi' end as reason from arcs""", ("arcs",))
+
+
+def _raw_arcs(spark, d):
+    m, e, r = F.col("Monto_IVA"), F.col("PARU_RUT_E0"), F.col("PARU_RUT_E2")
+    receiver = F.when(m % 5 == 2, F.lit("")).otherwise(r.cast("string"))
+    amount = F.when(m % 11 == 4, F.lit("sin monto")).otherwise(F.concat(m, F.lit(",25")))
+    line = F.when(m % 7 == 3, F.concat(e, F.lit(";"), r)).otherwise(F.concat(e, F.lit(";"), receiver, F.lit(";"), amount))
+    path = scratch_path(spark, "raw-arcs")
+    Inputs(spark, d).arcs().select(line.alias("value")).write.text(path)
+    schema = StructType([StructField("emisor", LongType()), StructField("receptor", LongType(), False), StructField("Fi", DoubleType())])
+    return checked.read_csv_checked(spark, path, schema, sep=";", decimal=",", header=False)
+
+
+@q("csv_checked_good", O.build(f"""select PARU_RUT_E0 as emisor, PARU_RUT_E2 as receptor,
+ {R6("cast(concat(Monto_IVA, '.25') as double)", 'Fi')} from raw_arcs where reason is null""", ["raw_arcs"]))
+def q_csv_checked_good(spark, d):
+    """A1, A2: the rows of a broken extract that can be read, decimal comma parsed."""
+    return _force_cols(_raw_arcs(spark, d)[0])
+
+
+@q("csv_checked_rejects", O.build("select line, reason from raw_arcs where reason is not null", ["raw_arcs"]))
+def q_csv_checked_rejects(spark, d):
+    """A1, A2: the rows that cannot, as they stand in the file, with the reason."""
+    return _raw_arcs(spark, d)[1].select("line", "reason")
+
+
 @q("parquet_round_trip", FORCE_SQL)
 def q_parquet_round_trip(spark, d):
     """A3 and A5."""
@@ -755,6 +984,17 @@ def q_view_query(spark, d):
     return spark.sql("select receptor, count(*) as n from force_vat_view group by receptor")
 
 
+@q("schema_of_outputs", O.build("""select tabla, cast(place as int) as place, name, type from (values
+ ('arcs', 0, 'PARU_RUT_E0', 'bigint'), ('arcs', 1, 'PARU_RUT_E2', 'bigint'), ('arcs', 2, 'Monto_IVA', 'bigint'),
+ ('forces', 0, 'emisor', 'bigint'), ('forces', 1, 'receptor', 'bigint'), ('forces', 2, 'Fi', 'double'),
+ ('scores', 0, 'cont_rut', 'bigint'), ('scores', 1, 'score', 'double')) t(tabla, place, name, type)""", []))
+def q_schema_of_outputs(spark, d):
+    """Names and types of the arcs, the force graph and the scores, as read."""
+    inp = Inputs(spark, d)
+    tables = {"arcs": inp.arcs(), "forces": inp.edges("combined"), "scores": run_scenario(spark, d, "combined", rounds=1).state}
+    return reduce(lambda a, b: a.unionByName(b), [io.schema_rows(df).select(F.lit(t).alias("tabla"), "place", "name", "type") for t, df in tables.items()])
+
+
 @q("seeds_active_raw", O.build("""select cast(CONT_RUT_E as bigint) as cont_rut, 1 as score
  from active_alerts where ALER_COD_TIPO_ALERTA in ('4110','4111','4112','4113')""", ["active_alerts"]))
 def q_seeds_active_raw(spark, d):
@@ -784,52 +1024,3 @@ def _register_scenario(sc: str) -> None:
 
 for _sc in ("vat", "rep"):
     _register_scenario(_sc)
-
-
-# ============================================================= planted groups
-#: The combined graph without the edges between groups of very different sizes (2 i + 1 of 400 ids belong to group i):
-#: it falls into components and communities that are not trivial.
-def _planted(spark, d):
-    group = lambda c: F.floor(F.sqrt(F.col(c) % 400))
-    e = Inputs(spark, d).force_combined().where(group("emisor") == group("receptor"))
-    return community.to_undirected(e)
-
-
-O.cte("planted", "select u, v, w from und where floor(sqrt(u % 400)) = floor(sqrt(v % 400))", ("und",))
-_REACH = """with recursive ends as (select u as a, v as b from planted union select v, u from planted),
- reach(node, low) as (select a, a from ends union select e.b, r.low from reach r join ends e on r.node = e.a)
- select node, min(low) as component from reach group by node"""
-
-
-@q("planted_components", O.build(f"select * from ({_REACH})", ["planted"]))
-def q_planted_components(spark, d):
-    return community.connected_components(_planted(spark, d)).select("node", F.col("c").alias("component"))
-
-
-@q("planted_louvain_zero", O.build(f"""select t.node as nodo, k.comunidad from ({_REACH}) t join
- (select component, row_number() over (order by count(*) desc, component) as comunidad from ({_REACH}) group by component) k
- on t.component = k.component""", ["planted"]))
-def q_planted_louvain_zero(spark, d):
-    """F2 at γ = 0: components, labelled by size."""
-    return community.louvain(_planted(spark, d), resolution=0.0).select("nodo", "comunidad")
-
-
-@q("planted_louvain", O.build("""select g.gamma, (select count(*) from (select u from planted union select v from planted)) as n_nodes,
- true as once, true as labels_gapless, true as q_stated, true as beats_singletons from (values (0.5::double), (1.0::double)) g(gamma)""",
-                              ["planted"]))
-def q_planted_louvain(spark, d):
-    """what must hold of any partition that Louvain returns, recomputed by other means."""
-    und = io.cut(_planted(spark, d), "planted")
-    singles = community.degrees(und).select("node", F.col("node").alias("c"))
-    out = []
-    for g in (0.5, 1.0):
-        mb = io.cut(community.resolution_study(und, [g]), "planted-study")
-        q1 = community.modularity(und, mb, 1.0, node="nodo", community="comunidad").scalar()
-        base = community.modularity(und, singles, 1.0, node="node", community="c").scalar()
-        out.append(mb.agg(F.lit(g).alias("gamma"), F.count(F.lit(1)).alias("n_nodes"),
-                          (F.count(F.lit(1)) == F.count_distinct("nodo")).alias("once"),
-                          ((F.min("comunidad") == 1) & (F.max("comunidad") == F.count_distinct("comunidad"))).alias("labels_gapless"),
-                          F.max("modularidad").alias("q"))
-                   .select("gamma", "n_nodes", "once", "labels_gapless", (F.abs(F.col("q") - q1) < 1e-9).alias("q_stated"),
-                           (F.col("q") >= base).alias("beats_singletons")))
-    return out[0].union(out[1])

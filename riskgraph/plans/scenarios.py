@@ -1,9 +1,10 @@
 """End-to-end scenarios (D11): force → propagation → outputs.
 
-``Inputs`` gathers the canonical tables for one data folder. Propagation
-results are memoised per (application, folder, scenario, rounds): a result
-is a set of written tables in the shared checkpoint folder, so a second query
-over the same scenario reads them instead of re-running the rounds."""
+``Inputs`` gathers the canonical tables for one data folder. What several
+queries need (forces, round states, labels, communities) is written once to
+the shared checkpoint folder and read from there. It is remembered by the
+signature of the input files (names, sizes, times), so that a table written
+again under its old name is computed again; ``clear_memo`` removes it."""
 
 from __future__ import annotations
 
@@ -14,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import community, enrich, forces, propagate, seeds
+from ..operators.journal import Journal
+from ..session import scratch_path
 from ..sources import fixtures
-from ..sources.io import cut
+from ..sources.io import cut, discard, input_signature
 
 SCENARIOS = ("vat", "rep", "combined")
 
@@ -59,51 +62,72 @@ class Inputs:
         return forces.force_representative(self.documents(), self.reps(), self.seeds())
 
     def force_combined(self, drop_zero: bool = True) -> DataFrame:
+        """Made anew from the inputs; :meth:`edges` reads the written graph."""
         return forces.combine_forces(self.force_rep(), self.force_vat(), drop_zero=drop_zero)
 
     def edges(self, scenario: str) -> DataFrame:
+        """Force graph of a scenario, written once; the combined one is made from the other two."""
         if scenario == "vat":
-            return self.force_vat()
-        if scenario == "rep":
-            return self.force_rep()
-        if scenario == "combined":
-            return self.force_combined()
-        raise ValueError(f"unknown scenario {scenario!r}")
+            make = self.force_vat
+        elif scenario == "rep":
+            make = self.force_rep
+        elif scenario == "combined":
+            def make():
+                return forces.combine_forces(self.edges("rep"), self.edges("vat"))
+        else:
+            raise ValueError(f"unknown scenario {scenario!r}")
+        return _written(self.spark, self.sf_dir, ("edges", scenario), make)
 
+    def undirected(self) -> DataFrame:
+        """F1 of the combined force graph, written once."""
+        return _written(self.spark, self.sf_dir, ("undirected",), lambda: community.to_undirected(self.edges("combined")))
 
-_MEMO: dict[tuple, tuple[int, propagate.Propagation]] = {}
+
+#: The tables that the canonical inputs are made from.
+TABLES = ("customer", "events", "lineitem", "nation", "orders", "region", "supplier")
+_MEMO: dict[tuple, object] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str, what: tuple) -> tuple:
+    folder = sf_dir.rstrip("/")
+    return (spark.sparkContext.applicationId, input_signature(spark, [f"{folder}/{t}.parquet" for t in TABLES]), *what)
+
+
+def _written(spark: SparkSession, sf_dir: str, what: tuple, make) -> DataFrame:
+    key = _key(spark, sf_dir, what)
+    if key not in _MEMO:
+        _MEMO[key] = cut(make(), "-".join(map(str, what[:2])).replace(".", "_"))
+    return _MEMO[key]
 
 
 def run_scenario(spark: SparkSession, sf_dir: str, scenario: str = "combined",
                  rounds: int = propagate.DEFAULT_ROUNDS, **kw) -> propagate.Propagation:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), scenario, tuple(sorted(kw.items())))
-    requested, hit = _MEMO.get(key, (-1, None))
-    if hit is None or requested < rounds:
-        # run at least the standard number of rounds: the states of every
-        # round are kept, so shorter runs are prefixes of this one
-        requested = max(rounds, propagate.DEFAULT_ROUNDS)
+    """``rounds`` rounds of a scenario. A longer run asked for later goes on from the journal of this one; a shorter
+    one is a part of it. With ``tol`` in ``kw`` the run may end before ``rounds`` (``rounds_run``)."""
+    key = _key(spark, sf_dir, ("propagation", scenario, *sorted(kw.items())))
+    asked, journal, hit = _MEMO.get(key, (-1, None, None))
+    if rounds > asked:
         inp = Inputs(spark, sf_dir)
-        hit = propagate.propagate(inp.edges(scenario), inp.seeds(), rounds=requested, **kw)
-        _MEMO[key] = (requested, hit)
-    k = min(rounds, len(hit.states) - 1)
+        journal = journal or Journal(spark, scratch_path(spark, "journal"), repr(key))
+        hit = propagate.propagate(inp.edges(scenario), inp.seeds(), rounds=rounds, journal=journal, **kw)
+        asked = rounds
+        _MEMO[key] = (asked, journal, hit)
+    k = min(rounds, hit.rounds_run)
     return propagate.Propagation(state=hit.states[k], states=hit.states[:k + 1], graph=hit.graph,
-                                 rounds_run=k)
+                                 rounds_run=k, edges_read=hit.edges_read[:k])
 
 
 def clear_memo(spark: SparkSession | None = None) -> None:
-    """Forget memoised results; with ``spark``, also drop the catalog
-    entries of the bucketed round tables."""
-    for _, res in _MEMO.values():
-        res.graph.unpersist()
-    _MEMO.clear()
-    for d in (_LABELLED, _LOUVAIN, _STUDY):
-        d.clear()
+    """Forget what was written; with ``spark``, also remove its folders and
+    the catalog entries of the bucketed round tables."""
     if spark is not None:
         from ..sources.io import drop_cut_tables
+        for (app, *_), hit in _MEMO.items():
+            if app == spark.sparkContext.applicationId:
+                for df in [hit] if isinstance(hit, DataFrame) else [*hit[2].states, hit[2].graph.cold]:
+                    discard(df)
         drop_cut_tables(spark)
-
-
-_LABELLED: dict[tuple, DataFrame] = {}
+    _MEMO.clear()
 
 
 def fixed_membership(nodes: DataFrame, k: int = fixtures.FIXED_COMMUNITIES) -> DataFrame:
@@ -116,49 +140,36 @@ def labelled_nodes(spark: SparkSession, sf_dir: str, rounds: int = propagate.DEF
                    membership: DataFrame | None = None) -> DataFrame:
     """Combined-scenario scores with all labels (E7) and communities (F4):
     the fixed partition unless ``membership`` (nodo, comunidad) is given,
-    with its modularity at γ = 1 (F3). Written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), rounds, membership is None)
-    if membership is None and key in _LABELLED:
-        return _LABELLED[key]
-    inp = Inputs(spark, sf_dir)
-    st = run_scenario(spark, sf_dir, "combined", rounds).state
-    lab = enrich.enrich(st, inp.tax_forms(), inp.documents(), inp.businesses(), inp.units(),
-                        inp.taxpayers(), inp.seeds(), since=fixtures.SINCE, as_of=fixtures.AS_OF)
-    mb = membership if membership is not None else fixed_membership(st)
-    und = community.to_undirected(inp.force_combined())
-    q = community.modularity(und, mb, 1.0, node="nodo", community="comunidad").first()["modularidad"]
-    out = community.attach_communities(lab, mb.select("nodo", "comunidad", F.lit(q).alias("modularidad")))
-    out = cut(out, "labelled")
-    if membership is None:
-        _LABELLED[key] = out
-    return out
-
+    with its modularity at γ = 1 (F3). Written once."""
+    def make():
+        inp = Inputs(spark, sf_dir)
+        st = run_scenario(spark, sf_dir, "combined", rounds).state
+        lab = enrich.enrich(st, inp.tax_forms(), inp.documents(), inp.businesses(), inp.units(),
+                            inp.taxpayers(), inp.seeds(), since=fixtures.SINCE, as_of=fixtures.AS_OF)
+        mb = membership if membership is not None else fixed_membership(st)
+        q = community.modularity(inp.undirected(), mb, 1.0, node="nodo", community="comunidad").first()["modularidad"]
+        return community.attach_communities(lab, mb.select("nodo", "comunidad", F.lit(q).alias("modularidad")))
 
-_LOUVAIN: dict[tuple, DataFrame] = {}
+    if membership is not None:
+        return cut(make(), "labelled")
+    return _written(spark, sf_dir, ("labelled", rounds), make)
 
 
 def louvain_membership(spark: SparkSession, sf_dir: str, resolution: float = 0.5, seed: int = 0) -> DataFrame:
-    """Louvain (nodo, comunidad, q_gamma) on the combined force graph;
-    written once per session and parameters."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), float(resolution), seed)
-    if key not in _LOUVAIN:
-        und = community.to_undirected(Inputs(spark, sf_dir).force_combined())
-        _LOUVAIN[key] = cut(community.louvain(und, resolution=resolution, seed=seed), "louvain-membership")
-    return _LOUVAIN[key]
+    """Louvain (nodo, comunidad, q_gamma) on the combined force graph; written once."""
+    return _written(spark, sf_dir, ("louvain", float(resolution), seed),
+                    lambda: community.louvain(Inputs(spark, sf_dir).undirected(), resolution=resolution, seed=seed))
 
 
-_STUDY: dict[tuple, DataFrame] = {}
 GAMMAS = tuple(i / 10 for i in range(11))
 
 
 def resolution_study(spark: SparkSession, sf_dir: str, gammas=GAMMAS, seed: int = 0) -> DataFrame:
     """F5 on the combined force graph: long table (nodo, gamma, comunidad,
-    modularidad); written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(gammas), seed)
-    if key not in _STUDY:
-        und = community.to_undirected(Inputs(spark, sf_dir).force_combined())
-        _STUDY[key] = cut(community.resolution_study(und, gammas, seed=seed), "resolution-study")
-    return _STUDY[key]
+    modularidad, q_gamma); written once."""
+    return _written(spark, sf_dir, ("study", seed, *gammas),
+                    lambda: community.partitions(Inputs(spark, sf_dir).undirected(), gammas, seed)
+                    .withColumnRenamed("q_1", "modularidad"))
 
 
 def write_outputs(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int = propagate.DEFAULT_ROUNDS,
@@ -183,7 +194,7 @@ def write_outputs(spark: SparkSession, sf_dir: str, out_dir: str, rounds: int =
         "labelled_csv": f"{out}/labelled_nodes_csv", "nodes": f"{out}/export_nodes",
         "edges": f"{out}/export_edges",
     }
-    io.write_parquet(inp.force_combined(), paths["forces"])
+    io.write_parquet(inp.edges("combined"), paths["forces"])
     io.write_csv(propagate.total_scores(res.state), paths["total"])
     io.write_csv(propagate.new_scores(res.state, inp.seeds()), paths["new"])
     io.write_parquet(lab, paths["labelled"])

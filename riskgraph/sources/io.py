@@ -5,8 +5,11 @@ implicit string arithmetic later on (Spark's ANSI mode stays on)."""
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import uuid
 from collections.abc import Iterable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +92,12 @@ def describe_schema(df: DataFrame) -> str:
     return df.schema.treeString()
 
 
+def schema_rows(df: DataFrame) -> DataFrame:
+    """Schema display (A12) as rows: place, name, type, nullable."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "place int, name string, type string, nullable boolean")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` as Parquet under the session's checkpoint folder
     and read it back: the lineage ends here and the data survives the loss
@@ -99,35 +108,105 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_CUT_TABLES: list[str] = []
+#: Catalog names of bucketed tables of this process, with the folder of each.
+_CUT_TABLES: dict[str, str] = {}
 
 
-def cut_bucketed(df: DataFrame, name: str, key: str, buckets: int, repartition: bool = True) -> DataFrame:
-    """Like :func:`cut`, but written as an external table bucketed by ``key``
-    into ``buckets`` files. A later join on ``key`` with another table of the
-    same bucket count reads both sides in place: no exchange. Used for the
-    prepared edges and the per-round node state of the propagation loop.
-
-    ``repartition=False`` when ``df`` is already hash-partitioned on ``key``
-    (e.g. the output of a group-by on it): bucketing uses the same hash, so
-    each task writes only its own buckets and no extra shuffle is needed."""
+def _with_partitions(spark: SparkSession, n: int):
+    """The session with ``n`` shuffle partitions for the statements inside."""
+    @contextlib.contextmanager
+    def held():
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    return held()
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, repartition: bool = True) -> tuple[DataFrame, str]:
+    """``df`` as an external table bucketed by ``key`` into ``buckets`` files, read back, and its folder. A later join
+    on ``key`` with another table of the same bucket count reads both sides in place: no exchange.
+
+    ``repartition=False`` when ``df`` ends in an aggregate by ``key``: it is written with as many shuffle partitions
+    as buckets. Both use the same hash, so that each bucket is one file and no extra shuffle is needed."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"rg_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-    out = df.repartition(buckets, key) if repartition else df
-    (out.write.mode("overwrite").format("parquet")
-        .bucketBy(buckets, key).option("path", path).saveAsTable(table))
-    _CUT_TABLES.append(table)
+    with _with_partitions(spark, buckets):
+        out = df.repartition(buckets, key) if repartition else df
+        (out.write.mode("overwrite").format("parquet")
+            .bucketBy(buckets, key).option("path", path).saveAsTable(table))
+    _CUT_TABLES[table] = path
+    return spark.table(table), path
+
+
+def cut_bucketed(df: DataFrame, name: str, key: str, buckets: int, repartition: bool = True) -> DataFrame:
+    """Like :func:`cut`, but bucketed (:func:`write_bucketed`). Used for the prepared edges and the per-round node
+    state of the propagation loop."""
+    return write_bucketed(df, name, key, buckets, repartition)[0]
+
+
+def open_bucketed(spark: SparkSession, path: str, key: str, buckets: int, ddl: str) -> DataFrame:
+    """A folder that :func:`write_bucketed` left, as a bucketed table again (another process may have written it)."""
+    table = f"rg_opened_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    _CUT_TABLES[table] = path
     return spark.table(table)
 
 
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    fs, p = _filesystem(spark, path)
+    return fs.exists(p)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`cut` or :func:`write_bucketed` made, with its catalog entry. Only folders below the
+    session's scratch folder are removed."""
+    if "/riskgraph/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    same = urlparse(path).path
+    for table in [t for t, at in _CUT_TABLES.items() if urlparse(at).path == same]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        del _CUT_TABLES[table]
+    fs, p = _filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the scratch folders that ``df`` reads (results of :func:`cut` or :func:`write_bucketed`)."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/riskgraph/" in f}:
+        drop_folder(df.sparkSession, path)
+
+
 def drop_cut_tables(spark: SparkSession) -> int:
-    """Drop the catalog entries made by :func:`cut_bucketed` in this process
+    """Drop the catalog entries made by :func:`write_bucketed` in this process
     (external tables: the files stay in the checkpoint folder, whose lifetime
     the cluster manages). Call when the results are no longer needed."""
     n = 0
     while _CUT_TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_CUT_TABLES.pop()}")
+        spark.sql(f"DROP TABLE IF EXISTS {_CUT_TABLES.popitem()[0]}")
         n += 1
     return n
 
+
+def input_signature(spark: SparkSession, paths: Iterable[str]) -> str:
+    """Hash of the names, sizes and times of the files below ``paths`` (files or folders): another one when an input
+    is written again, also under its old name. A listing on the driver; no file is read."""
+    digest = hashlib.sha256()
+    for path in paths:
+        fs, p = _filesystem(spark, path)
+        files = fs.listFiles(p, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+        digest.update("\n".join([path, *sorted(found)]).encode())
+    return digest.hexdigest()

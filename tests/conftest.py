@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from riskgraph.session import checkpoint_root, get_spark
-    s = get_spark("local[*]", shuffle_partitions=8)
+    s = get_spark("local[*]", shuffle_partitions=8, extra={"spark.driver.memory": "16g"})
     checkpoint_root(s)   # uses the session's folder; makes a scratch one only when unset
     yield s
 

@@ -111,3 +111,85 @@ def test_louvain_ring_of_cliques(spark):
 def test_long_path_is_one_component(spark):
     und = spark.range(0, 1000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(1.0).alias("w"))
     assert C.connected_components(und).select("c").distinct().collect() == [(0,)]
+
+
+def _planted(spark, sf="/root/testdata/sf0.001"):
+    """The combined graph without the edges between groups of very different sizes (2 i + 1 of 400 ids belong to group
+    i): it falls into components and communities that are not trivial."""
+    from riskgraph.plans.scenarios import Inputs
+    group = lambda c: F.floor(F.sqrt(F.col(c) % 400))
+    e = Inputs(spark, sf).edges("combined").where(group("emisor") == group("receptor"))
+    return C.to_undirected(e)
+
+
+def _text(c):
+    return F.concat(F.lit("id-"), F.lpad(F.col(c).cast("string"), 12, "0"))
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    from riskgraph.sources.io import cut
+    return cut(_planted(spark), "planted")
+
+
+@pytest.fixture(scope="module")
+def study(planted):
+    from riskgraph.sources.io import cut
+    return cut(C.partitions(planted, [0.0, 0.5, 1.0]), "planted-study")
+
+
+def test_text_ids_equal_numbers(spark, planted, study):
+    """Ids as text of the same order: the same partition, for Louvain and for the study table."""
+    und = planted.select(_text("u").alias("u"), _text("v").alias("v"), "w")
+    text = C.partitions(und, [0.0, 0.5, 1.0])
+    a = {(r.gamma, r.nodo): (r.comunidad, r.q_gamma, r.q_1) for r in text.collect()}
+    b = {(r.gamma, "id-" + str(r.nodo).zfill(12)): (r.comunidad, r.q_gamma, r.q_1) for r in study.collect()}
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][1:] == pytest.approx(b[k][1:], abs=1e-12) for k in a)
+    nodes = study.select("nodo").distinct()
+    lab = nodes.select(F.col("nodo").alias("cont_rut"), F.lit(0.5).alias("score"))
+    long = study.withColumnRenamed("q_1", "modularidad")
+    wide = C.study_table(lab, long, (0.0, 0.5, 1.0))
+    wide_text = C.study_table(lab.withColumn("cont_rut", _text("cont_rut")), text.withColumnRenamed("q_1", "modularidad"), (0.0, 0.5, 1.0))
+    n = wide.count()
+    same = wide.withColumn("cont_rut", _text("cont_rut")).select("cont_rut", "`comunidad_0.5`", "`comunidad_1.0`")
+    assert n == wide_text.count() and same.exceptAll(wide_text.select("cont_rut", "`comunidad_0.5`", "`comunidad_1.0`")).count() == 0
+
+
+def test_certificate_of_planted_groups(planted, study):
+    rows = {r.gamma: r for r in C.certificate(planted, study).collect()}
+    nodes = C.degrees(planted).count()
+    assert sorted(rows) == [0.0, 0.5, 1.0]
+    for r in rows.values():
+        assert r.n_nodes == nodes and r.once and r.gapless and r.connected and r.stable and r.q_stated
+    assert rows[1.0].n_communities >= rows[0.0].n_communities > 1
+    cc = C.connected_components(planted)
+    assert rows[0.0].n_communities == cc.select("c").distinct().count()
+
+
+def test_certificate_finds_faults(spark):
+    und = C.to_undirected(edges_df(spark, TWO_TRIANGLES + [(7, 8, 1.0)]))
+    good = {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 3, 8: 3}
+
+    def certified(part, q=None, extra=()):
+        rows = [(1.0, n, c) for n, c in part.items()]
+        df = spark.createDataFrame(rows + list(extra), "gamma double, nodo long, comunidad long")
+        q = C.modularity(und, df.select("nodo", "comunidad"), 1.0, node="nodo").scalar() if q is None else F.lit(q)
+        return C.certificate(und, df.withColumn("q_gamma", q)).first()
+
+    r = certified(good)
+    assert r.once and r.gapless and r.connected and r.stable and r.q_stated and r.n_communities == 3
+    assert not certified(good, q=0.9).q_stated
+    assert not certified(good | {7: 5, 8: 5}).gapless
+    assert not certified(good | {3: 2}).stable and certified(good | {3: 2}).best_gain > 0
+    apart = certified({1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 1, 8: 1})
+    assert not apart.connected and apart.once
+    assert not certified(good, q=0.1, extra=[(1.0, 1, 2)]).once
+    assert not certified({k: v for k, v in good.items() if k != 2}, q=0.1).once
+
+
+def test_pieces_are_named_by_their_smallest_node(spark):
+    from riskgraph.operators.louvain import connected_parts
+    und = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0), (2, 3, 0.0), (5, 5, 1.0)], "u long, v long, w double")
+    memb = spark.createDataFrame([(g, n, 9) for g in (0.5, 1.0) for n in range(1, 6)], "gamma double, node long, c long")
+    got = {(r.gamma, r.node): r.c for r in connected_parts(und, memb, 5).collect()}
+    assert got == {(g, n): c for g in (0.5, 1.0) for n, c in {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}.items()}

@@ -122,3 +122,114 @@ def test_hot_path_on_test_tables(spark):
     assert hot.graph.hot is not None
     a, b = scores(normal, 3), scores(hot, 3)
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+CHAIN = [(i, i + 1, 0.6) for i in range(1, 30)] + [(100 + i, 2, 0.1) for i in range(20)]
+
+
+def test_frontier_rounds_equal_full_rounds(spark):
+    for kw in ({}, {"min_hot_degree": 5, "max_hot_keys": 10}):
+        rows = CHAIN + ([(C, n, 0.3) for n in range(200, 215)] if kw else [])
+        e, sd = edges_df(spark, rows), seeds_df(spark, [1, C] if kw else [1])
+        full, front = P.propagate(e, sd, rounds=6, **kw), P.propagate(e, sd, rounds=6, frontier=True, **kw)
+        for k in range(7):
+            a, b = scores(full, k), scores(front, k)
+            assert a.keys() == b.keys() and all(a[n] == pytest.approx(b[n], abs=1e-12) for n in a)
+
+
+def test_frontier_reads_less_on_a_chain(spark):
+    e = edges_df(spark, [(i, i + 1, 1.0) for i in range(1, 40)])
+    res = P.propagate(e, seeds_df(spark, [1]), rounds=5, frontier=True)
+    assert scores(res, 5)[6] == pytest.approx(1.0) and len(res.edges_read) == 5
+    # a full round reads every edge and self row; here only the receivers next to what changed
+    assert max(res.edges_read) <= 6 < 39 + 40
+
+
+def test_files_per_round_are_buckets(spark):
+    from riskgraph.sources.io import write_bucketed
+    st = spark.range(3000).selectExpr("id % 1000 as cont_rut", "cast(id as double) as score").groupBy("cont_rut").agg({"score": "sum"}).toDF("cont_rut", "score")
+    df, _ = write_bucketed(st, "files", "cont_rut", 5, repartition=False)
+    assert len(df.inputFiles()) == 5 and df.count() == 1000
+
+
+class Lost(Exception):
+    pass
+
+
+def _run_until(monkeypatch, stop, *args, **kw):
+    """The rounds that a run computes; from round ``stop`` on its driver is lost."""
+    done, step = [], P.propagate_step
+
+    def counted(graph, state):
+        if len(done) + 1 == stop:
+            raise Lost
+        done.append(1)
+        return step(graph, state)
+
+    monkeypatch.setattr(P, "propagate_step", counted)
+    try:
+        return len(done), P.propagate(*args, **kw), len(done)
+    except Lost:
+        return None, None, len(done)
+    finally:
+        monkeypatch.setattr(P, "propagate_step", step)
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_journal_goes_on_after_the_last_round(spark, monkeypatch, keep):
+    from riskgraph.operators.journal import Journal
+    from riskgraph.session import scratch_path
+    from riskgraph.sources import io
+    e, sd = edges_df(spark, CHAIN), seeds_df(spark, [1])
+    folder = scratch_path(spark, "journal-test")
+    whole = P.propagate(e, sd, rounds=10, keep_states=keep)
+    _, none, n = _run_until(monkeypatch, 8, e, sd, rounds=10, journal=Journal(spark, folder, "a"), keep_states=keep)
+    assert none is None and n == 7
+    io.drop_cut_tables(spark)  # another process: no catalog entry is left
+    _, res, n = _run_until(monkeypatch, None, e, sd, rounds=10, journal=Journal(spark, folder, "a"), keep_states=keep)
+    assert n == 3 and res.rounds_run == 10
+    a, b = ({r.cont_rut: r.score for r in x.state.collect()} for x in (whole, res))
+    assert a == pytest.approx(b, abs=1e-12) and len(res.states) == (11 if keep else 2)
+    if not keep:
+        assert [r.iterations for r in res.metrics.collect()] == list(range(1, 11))
+        assert sorted(map(tuple, res.metrics.collect())) == sorted(map(tuple, P.round_metrics(P.propagate(e, sd, rounds=10).states).collect()))
+    _, res, n = _run_until(monkeypatch, None, e, sd, rounds=10, journal=Journal(spark, folder, "other inputs"), keep_states=keep)
+    assert n == 10
+
+
+def test_journal_ignores_what_was_not_committed(spark):
+    from riskgraph.operators.journal import Journal
+    from riskgraph.session import scratch_path
+    j = Journal(spark, scratch_path(spark, "journal-half"), "x")
+    assert j.read("layout") is None and j.last("round-", 15) is None
+    for k in range(3):
+        j.commit(f"round-{k}", path=f"p{k}")
+    fs, p = io_fs(spark, f"{j.folder}/round-2/_SUCCESS")
+    fs.delete(p, False)  # the driver was lost while it wrote the entry
+    assert j.last("round-", 15) == (1, {"path": "p1"}) and j.last("round-", 0) == (0, {"path": "p0"})
+
+
+def io_fs(spark, path):
+    from riskgraph.sources.io import _filesystem
+    return _filesystem(spark, path)
+
+
+def test_rounds_as_asked(spark):
+    from riskgraph.plans import scenarios
+    sf = "/root/testdata/sf0.001"
+    scenarios.clear_memo()
+    one = scenarios.run_scenario(spark, sf, "vat", rounds=1)
+    assert one.rounds_run == 1 and len(one.states) == 2
+    three = scenarios.run_scenario(spark, sf, "vat", rounds=3)  # goes on
+    assert three.rounds_run == 3 and sorted(three.states[1].inputFiles()) == sorted(one.states[1].inputFiles())
+    assert scenarios.run_scenario(spark, sf, "vat", rounds=2).rounds_run == 2
+
+
+def test_describe_rounds(spark):
+    import pandas as pd
+    res = P.propagate(edges_df(spark, CHAIN), seeds_df(spark, [1]), rounds=3)
+    got = {r.iterations: r for r in P.describe_rounds(res.states).collect()}
+    assert sorted(got) == [1, 2, 3]
+    for k, r in got.items():
+        want = pd.Series(list(scores(res, k).values())).describe()
+        assert [r["count"], r["mean"], r["std"], r["min"], r.q25, r.q50, r.q75, r["max"]] == pytest.approx(list(want))

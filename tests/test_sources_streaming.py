@@ -1,11 +1,5 @@
-import datetime as dt
-from riskgraph.operators import seeds
 from riskgraph.session import scratch_path
 from riskgraph.sources import io
-from riskgraph.streaming.seeds import seed_stream
-
-ALERT_SCHEMA = ("cont_rut long, ALER_COD_TIPO_ALERTA_VO string, aler_desc_tipo_alerta_vo string, "
-                "aler_fecha_desactiv_vo timestamp")
 
 
 def test_csv_typed_and_untyped_roundtrip(spark):
@@ -37,25 +31,6 @@ def test_parquet_table_view_preview_schema(spark):
     assert io.cut(back, "cut-test").count() == 30
 
 
-def test_seed_stream_is_idempotent(spark):
-    src = scratch_path(spark, "alerts-src")
-    t = dt.datetime(2020, 1, 1)
-    b1 = spark.createDataFrame([(1, "4110", "a", t), (2, "4113", "b", t), (3, "4113", "b", None)], ALERT_SCHEMA)
-    b1.write.mode("append").parquet(src)
-    table = scratch_path(spark, "seed-table")
-    ck = scratch_path(spark, "seed-stream-ckpt")
-    q = seed_stream(spark, src, ALERT_SCHEMA, table, ck)
-    q.awaitTermination(120)
-    b2 = spark.createDataFrame([(1, "4111", "c", None), (4, "4112", "d", None)], ALERT_SCHEMA)
-    b2.write.mode("append").parquet(src)
-    q = seed_stream(spark, src, ALERT_SCHEMA, table, ck)
-    q.awaitTermination(120)
-    got = sorted(r.cont_rut for r in spark.read.parquet(table).collect())
-    assert got == [1, 3, 4]
-    batch = sorted(r.cont_rut for r in seeds.seeds_from_alerts(spark.read.parquet(src)).collect())
-    assert got == batch
-
-
 def test_write_outputs_end_to_end(spark):
     from riskgraph.plans.scenarios import write_outputs
     out = scratch_path(spark, "outputs")
