@@ -8,7 +8,7 @@ linked.
    not give back has no tokens here.
 2. An anchor is an end that both share before a token that starts with a space on both sides. Anchors split a
    document into windows of token ids, mostly a word. The alignment of a window depends on its two tuples of ids
-   alone, so a task works it out once and looks it up after that.
+   alone, so a task works it out once and looks it up after that; new windows are worked out many at once.
 3. A slice of documents (``SLICE_BYTES`` of text) is one written row: its windows, its distinct id pairs, and how many
    of its documents hold each pair. Spark adds the counts up over slices.
 4. The counts are joined back to the slices' pairs, which are few beside the links, and summed over the windows.
@@ -16,7 +16,8 @@ linked.
 Both tokenizers are asked for text in units, cut at single spaces between visible characters, and remember these.
 That is exact where the tokenizer's own rules cut there too: A's pattern takes a space with what follows it, and no
 piece of B goes on after a mark that follows another character. A vocabulary of B with such a piece is given whole
-texts instead.
+texts instead. Where A's merges are in the order of its ids, as here, a faster library takes its units of Latin
+letters, digits and signs: it merges by ids, which is then the same.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import io
+import itertools
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -40,14 +43,23 @@ from .base import record_batch, slices, table
 MODEL_A, MODEL_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text in a slice; units and windows that a task remembers when it starts a slice; longest window remembered.
-SLICE_BYTES, REMEMBERED, LONGEST = 4 << 20, 200_000, 64
+SLICE_BYTES, REMEMBERED, LONGEST = 4 << 20, 300_000, 64
 #: Units given to a tokenizer at once, windows looked up at once.
 ASKED, LOOKED_UP = 4096, 1 << 16
+#: Units from this length on go to A's own library, whose time does not grow with the square of a unit.
+LATIN_MOST = 512
 #: Characters that no tokenizer takes for white space: a space between two of them is a cut.
 VISIBLE = "!-~¡-ᙿ‰-⁞、-퟿"
-_CLEAN = re.compile(f"[{VISIBLE}](?:.*[{VISIBLE}])?", re.S)
+#: A space that is no cut: without a visible character before or after it.
+_ODD = re.compile(f" (?![{VISIBLE}])|(?<![{VISIBLE}]) ")
 _SEEN = re.compile(f"[{VISIBLE}]")
 
+#: Text on which pre-tokenizers of all Unicode versions agree, and the pattern of byte-level BPE.
+_LATIN = re.compile("[ -~\u00a1-\u00ac\u00ae-\u017f]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Between the ids of A and of B in the key of a window.
+_BETWEEN = b"\xff\xff\xff\xff"
+
 _SLICES = pa.schema([("payload", pa.binary()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 _SLICES_DDL = "payload binary, pairs array<long>, docs array<long>"
 _RESULT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")),
@@ -78,9 +90,29 @@ class ByteLevel:
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(byte_of[c] for c in token)
         self.units = True
+        self.ranks = self._by_rank(json.loads(model), byte_of)
+
+    @staticmethod
+    def _by_rank(file: dict, byte_of: dict[str, int]):
+        """The same BPE by ranks, if the k-th merge makes the token of the k-th id after the bytes'; else None."""
+        model, pre = file["model"], file.get("pre_tokenizer") or {}
+        plain = (file.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+                 and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")))
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+        if not plain or any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+            return None
+        import tiktoken
+
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.own.encode_batch_fast(units, add_special_tokens=False)]
+        if self.ranks is None:
+            return [e.ids for e in self.own.encode_batch_fast(units, add_special_tokens=False)]
+        fast = [len(u) < LATIN_MOST and bool(_LATIN.fullmatch(u)) for u in units]
+        others = iter(self.own.encode_batch_fast([u for u, f in zip(units, fast, strict=True) if not f], add_special_tokens=False))
+        encode = self.ranks.encode_ordinary
+        return [encode(u) if f else next(others).ids for u, f in zip(units, fast, strict=True)]
 
 
 class Pieces:
@@ -99,41 +131,19 @@ class Pieces:
 
 
 def units(text: str) -> list[str]:
-    """``text`` (not empty) with a space before it, cut before each single space between visible characters."""
+    """``text`` (not empty) cut at each single space between visible characters, which is left out: each unit has one
+    space before it, the first too."""
+    if _ODD.search(text) is None:
+        return text.split(" ")
     words = text.split(" ")
-    if all(map(_CLEAN.fullmatch, words)):
-        return [" " + w for w in words]
-    out = [" " + words[0]]
+    out, open_ = [], [words[0]]
     for before, w in zip(words, words[1:]):
         if _SEEN.match(before[-1:]) and _SEEN.match(w):
-            out.append(" " + w)
-        else:
-            out[-1] += " " + w
-    return out
-
-
-def align(a: tuple[int, ...], b: tuple[int, ...], len_a: list[int], len_b: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number and the linked pairs (a << 32 | b) of two runs of ids over the same bytes."""
-    groups, links = [], []
-    i = j = first_i = first_j = 0
-    end_a, end_b = len_a[a[0]], len_b[b[0]]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            i += 1
-            j += 1
-            groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-            first_i, first_j = i, j
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            end_a += len_a[a[i]]
-            end_b += len_b[b[j]]
-        elif end_a < end_b:
-            i += 1
-            end_a += len_a[a[i]]
+            out.append(" ".join(open_))
+            open_ = [w]
         else:
-            j += 1
-            end_b += len_b[b[j]]
+            open_.append(w)
+    return [*out, " ".join(open_)]
 
 
 class Aligner:
@@ -145,50 +155,93 @@ class Aligner:
         self.len_a, self.len_b = [len(x) for x in a.bytes], [len(x) for x in b.bytes]
         self.size_a, self.size_b = (np.array(x, dtype=np.int64) for x in (self.len_a, self.len_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t.bytes]) for t in (a, b))
+        # an id with what may follow it: "," or "|" for A, then "," or ";" or the end of a window for B
+        self.words = [f"{i}{c}" for n, signs in ((len(a.bytes), ",|"), (len(b.bytes), ",;\n")) for c in signs for i in range(n)]
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}  # unit: its place in the lists below
+        self.known: dict[str, int] = {}  # unit without its first space: its place in the lists below
         self.ids_a: list[bytes] = []
         self.ids_b: list[bytes] = []
         self.whole: list[bool] = []  # both tokenizers give the unit's bytes back
-        self.windows: dict[tuple[bytes, bytes], int] = {}
+        self.windows: dict[bytes, int] = {}
         self.text: list[str] = []
         self.n_groups: list[int] = []
-        self.links: list[list[int]] = []
+        self.links: list[bytes] = []  # pairs a << 32 | b
 
     def learn(self, new: Iterable[str]) -> None:
         new = list(new)
         for at in range(0, len(new), ASKED):
-            some = new[at:at + ASKED]
-            for unit, a, b in zip(some, self.a.encode(some), self.b.encode(some), strict=True):
-                body = unit.encode("utf-8")
-                self.known[unit] = len(self.whole)
-                self.ids_a.append(np.array(a, dtype="<i4").tobytes())
-                self.ids_b.append(np.array(b, dtype="<i4").tobytes())
-                self.whole.append(b"".join(map(self.a.bytes.__getitem__, a)) == body == b"".join(map(self.b.bytes.__getitem__, b)))
+            some = [" " + u for u in new[at:at + ASKED]]
+            bodies = [u.encode("utf-8") for u in some]
+            sizes = np.array(list(map(len, bodies)), dtype=np.int64)
+            good = np.ones(len(some), dtype=bool)
+            for tokenizer, size, kept in ((self.a, self.size_a, self.ids_a), (self.b, self.size_b, self.ids_b)):
+                ids = tokenizer.encode(some)
+                counts = np.array(list(map(len, ids)), dtype=np.int64)
+                flat = np.array(list(itertools.chain.from_iterable(ids)), dtype="<i4")
+                edges = np.concatenate([[0], np.cumsum(counts)])
+                ends = np.concatenate([[0], np.cumsum(size[flat])])[edges]
+                back = b"".join(map(tokenizer.bytes.__getitem__, flat.tolist()))
+                if (np.diff(ends) != sizes).any() or back != b"".join(bodies):
+                    ends = ends.tolist()
+                    good &= [back[lo:hi] == body for lo, hi, body in zip(ends, ends[1:], bodies, strict=False)]
+                raw, edges = flat.tobytes(), (4 * edges).tolist()
+                kept += [raw[lo:hi] for lo, hi in zip(edges, edges[1:])]
+            self.known.update(zip(new[at:at + ASKED], range(len(self.whole), len(self.whole) + len(some)), strict=True))
+            self.whole += good.tolist()
 
     def tokens(self, texts: list[str]) -> list[list[int]]:
         """Units of each text that both tokenizers give back; none for the others."""
-        cuts = [(units(t) if self.split else [" " + t]) if t else [] for t in texts]
+        cuts = [(units(t) if self.split else [t]) if t else [] for t in texts]
         self.learn(dict.fromkeys(u for c in cuts for u in c if u not in self.known))
         out = [list(map(self.known.__getitem__, c)) for c in cuts]
         return [u if all(map(self.whole.__getitem__, u)) else [] for u in out]
 
-    def window(self, a: bytes, b: bytes) -> int:
-        """Place of a window's alignment in the lists."""
-        ids = [tuple(np.frombuffer(x, "<i4").tolist()) for x in (a, b)]
-        text, n, links = align(*ids, self.len_a, self.len_b)
-        self.text.append(text)
-        self.n_groups.append(n)
-        self.links.append(links)
-        place = len(self.text) - 1
-        if len(ids[0]) + len(ids[1]) <= LONGEST:
-            self.windows[a, b] = place
-        return place
-
-    def slice(self, texts: list[str]) -> dict[str, np.ndarray | list[str]]:
-        """Windows and counts of some documents; ``windows`` has the places of all their windows in order."""
+    def work_out(self, keys: list[bytes]) -> None:
+        """Alignments of new windows, all at once: they are laid end to end, which both sides' bytes allow."""
+        cut_at = [k.index(_BETWEEN) if len(k) < 64 else _between(k) for k in keys]
+        a = np.frombuffer(b"".join([k[:c] for k, c in zip(keys, cut_at, strict=True)]), "<i4").astype(np.int64)
+        b = np.frombuffer(b"".join([k[c + 4:] for k, c in zip(keys, cut_at, strict=True)]), "<i4").astype(np.int64)
+        n_a = np.array(cut_at, dtype=np.int64) >> 2
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        side = np.zeros(int(end_a[-1]) + 1, dtype=np.int8)  # which side's tokens end at a byte
+        side[end_a] = 1
+        side[end_b] += 2
+        shared_a, shared_b = side[end_a] == 3, side[end_b] == 3
+        ends = np.flatnonzero(side)
+        links = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
+        stop = end_a[np.cumsum(n_a) - 1]
+        n_links = np.searchsorted(ends, stop, side="right")
+        n_groups = np.searchsorted(end_a[shared_a], stop, side="right")
+        last = np.zeros(len(b), dtype=bool)
+        last[np.searchsorted(end_b, stop)] = True
+        first_b = 2 * len(self.len_a)
+        said = np.concatenate([a + shared_a * len(self.len_a), first_b + b + (shared_b.astype(np.int64) + last) * len(self.len_b)])
+        group = np.concatenate([2 * (np.cumsum(shared_a) - shared_a), 2 * (np.cumsum(shared_b) - shared_b) + 1])
+        text = "".join(map(self.words.__getitem__, said[np.argsort(group, kind="stable")].tolist())).split("\n")
+        raw, edges = links.astype("<i8").tobytes(), [0, *(8 * n_links).tolist()]
+        place = len(self.text)
+        self.text += text[:-1]
+        self.n_groups += np.diff(n_groups, prepend=0).tolist()
+        self.links += [raw[lo:hi] for lo, hi in zip(edges, edges[1:])]
+        for k, key in enumerate(keys):
+            self.windows[key] = place + k
+
+    def looked_up(self, keys: list[bytes]) -> list[int]:
+        """Places of the alignments of some windows."""
+        get = self.windows.get
+        if new := [k for k in dict.fromkeys(keys) if k not in self.windows]:
+            self.work_out(new)
+            places = list(map(get, keys))
+            for k in new:
+                if len(k) > 4 * LONGEST:
+                    del self.windows[k]  # too long to come again
+            return places
+        return list(map(get, keys))
+
+    def slice(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """Windows and counts of some documents; ``places`` has those of all their windows in order."""
         if len(self.known) > REMEMBERED or len(self.text) > REMEMBERED:
             self.forget()
         found = self.tokens(texts)
@@ -197,7 +250,7 @@ class Aligner:
         a, b = np.frombuffer(raw_a, "<i4"), np.frombuffer(raw_b, "<i4")
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # documents follow each other in both, as both give back the same bytes
-        stops = np.cumsum([sum(len(self.ids_a[u]) for u in f) >> 2 for f in found]) if found else np.empty(0, np.int64)
+        stops = np.cumsum([sum([len(self.ids_a[u]) for u in f]) >> 2 for f in found]) if found else np.empty(0, np.int64)
         n = int(end_a[-1]) if len(a) else 0
         at = np.zeros(n + 1, dtype=np.int64)  # 1 + place of B's token that ends there
         at[end_b] = np.arange(1, len(b) + 1)
@@ -210,17 +263,20 @@ class Aligner:
         marked[inner] = self.space_a[a[i[inner] + 1]] & self.space_b[b[j[inner] + 1]]
         i, j = i[marked] + 1, j[marked] + 1
         places = np.empty(len(i), dtype=np.int64)
-        get, work = self.windows.get, self.window
-        p, q = [0, *(i * 4).tolist()], [0, *(j * 4).tolist()]
         for lo in range(0, len(i), LOOKED_UP):
             hi = min(len(i), lo + LOOKED_UP)
-            keys = [(raw_a[p[k]:p[k + 1]], raw_b[q[k]:q[k + 1]]) for k in range(lo, hi)]
-            places[lo:hi] = [w if (w := get(key)) is not None else work(*key) for key in keys]
+            p, q = ([int(x[lo - 1]) * 4 if lo else 0, *(x[lo:hi] * 4).tolist()] for x in (i, j))
+            places[lo:hi] = self.looked_up([raw_a[x:y] + _BETWEEN + raw_b[z:w] for x, y, z, w in zip(p, p[1:], q, q[1:])])
         bounds = np.searchsorted(i, stops, side="right")  # windows up to the end of each document
         return {"places": places, "bounds": bounds, "n_a": np.diff(stops, prepend=0),
                 "n_b": np.diff(np.concatenate([[0], j])[bounds], prepend=0)}
 
 
+def _between(key: bytes) -> int:
+    """Where the sides of a long key meet, at a whole number of ids."""
+    return int(np.flatnonzero(np.frombuffer(key, "<i4") == -1)[0]) * 4
+
+
 @functools.lru_cache(maxsize=2)
 def aligner(a: bytes, b: bytes) -> Aligner:
     """One per Python process; what it remembers is bounded."""
@@ -247,8 +303,9 @@ def _slice_row(own: Aligner, doc_ids: pa.Array, texts: list[bytes], keep: bool)
     got = own.slice([t.decode("utf-8", "replace") for t in texts])
     places, bounds = got["places"], got["bounds"]
     used, window = np.unique(places, return_inverse=True)
-    per_window = np.array([len(own.links[w]) for w in used], dtype=np.int64)
-    codes = np.array([x for w in used for x in own.links[w]], dtype=np.int64)
+    held_links = list(map(own.links.__getitem__, used.tolist()))
+    per_window = np.array(list(map(len, held_links)), dtype=np.int64) >> 3
+    codes = np.frombuffer(b"".join(held_links), "<i8")
     pairs, link = np.unique(codes, return_inverse=True)
     starts = np.cumsum(per_window) - per_window
     # documents that hold each pair: distinct windows of a document first, then distinct pairs
@@ -257,7 +314,7 @@ def _slice_row(own: Aligner, doc_ids: pa.Array, texts: list[bytes], keep: bool)
     d, w = np.divmod(held, max(1, len(used)))
     held = np.unique(np.repeat(d, per_window[w]) * max(1, len(pairs)) + link[_ranges(starts[w], per_window[w])])
     docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
-    groups = np.array([own.n_groups[w] for w in used], dtype=np.int64)
+    groups = np.array(list(map(own.n_groups.__getitem__, used.tolist())), dtype=np.int64)
     sums = np.concatenate([[0], np.cumsum(groups[window])])
     digests, whole = [], []
     for lo, hi in zip([0, *bounds[:-1].tolist()], bounds.tolist(), strict=True) if len(bounds) else ():
