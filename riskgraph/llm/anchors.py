@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
 from ..sources.io import cut, cut_bucketed
 from .base import slices, table, total
 from .suffix import _POWERS, _mixed, _prefix_hash
@@ -375,7 +376,8 @@ def remove_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     table gives an empty result."""
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("text"))
     size = total(rows, F.octet_length("text"))
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / DOC_BUCKET))
+    # with fewer buckets than shuffle partitions Spark would shuffle the texts again for each join
+    buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(size / DOC_BUCKET))
     numbered = cut_bucketed(rows.withColumn("row", F.monotonically_increasing_id()), "anchors-documents", "row", buckets)
     anchored = cut(anchors(numbered, size), "anchors-blocks")
     repeated = cut(repeats(numbered, anchored), "anchors-repeats")
