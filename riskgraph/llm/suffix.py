@@ -12,9 +12,9 @@ One suffix array of all text would not fit anywhere, so equal strings are first
    hash of the run's bytes, document, position. Text of average kind has one run per 35 bytes.
 2. Runs meet by minimizer. Of runs with equal bytes all but the first are removed whole. Where a minimizer has a
    single text, nothing else can match it.
-3. The first runs of minimizers with several texts are fetched as bytes. Each minimizer's bytes get a suffix array
-   (ranks by doubling up to depth 100, ties by position), and the previous and next smaller positions in suffix
-   order give the windows with an earlier match.
+3. The first runs of minimizers with several texts are fetched as bytes. They get a suffix array up to depth 100 (ranks
+   by doubling, ties by position); the previous and next smaller positions in suffix order and the common lengths with
+   them make the array of longest previous factors, and windows whose factor reaches 100 go.
 4. Removed windows are joined back to their documents and merged into spans.
 
 A minimizer with more than ``HOT`` texts, say in a line that a third of the corpus holds, would put too many bytes
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import cut
-from .base import slices, table, total
+from .base import ranked, slices, table, total
 
 LENGTH, K = 100, 32
 W = LENGTH - K + 1
@@ -49,7 +49,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: A run: bucket key (minimizer, or hash of a window), hash of its text, document, tie, position, number of windows.
-RUN = np.dtype([("key", "<u8"), ("text", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("n", "u1")])
+RUN = np.dtype([("key", "<u8"), ("text", "<u8"), ("doc", "<i8"), ("tie", "<u8"), ("pos", "<u4"), ("n", "u1")])
 _MSG = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 _MSG_DDL = "bucket int, data binary"
 _OUT = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
@@ -148,7 +148,7 @@ def unpack(data: bytes) -> np.ndarray:
     data = zstandard.ZstdDecompressor().decompress(data)
     n, at = int.from_bytes(data[:4], "little"), 4
     out = np.empty(n, dtype=RUN)
-    for c, t in (("doc", "<i8"), ("tie", "<u4"), ("pos", "<u4"), ("n", "u1"), ("key", "<u8"), ("text", "<u8")):
+    for c, t in (("doc", "<i8"), ("tie", "<u8"), ("pos", "<u4"), ("n", "u1"), ("key", "<u8"), ("text", "<u8")):
         x = np.frombuffer(data, t, n, at)
         out[c] = np.cumsum(x) if c == "doc" else x
         at += n * np.dtype(t).itemsize
@@ -178,7 +178,7 @@ def _send(kept: list[np.ndarray], buckets: int, passed: int) -> pa.RecordBatch:
     r, later = _sorted(np.concatenate(kept))
     rows = [(b, pack(part)) for b, part in _messages(r[~later], buckets)]
     gone = r[later]
-    owner = gone["doc"] % passed
+    owner = (_mixed(gone["doc"].view(np.uint64) + gone["tie"] * np.uint64(_BASE)) % np.uint64(passed)).astype(np.int64)
     rows += [(-1 - int(o), pack(gone[owner == o])) for o in np.unique(owner)]
     return _batch(rows)
 
@@ -222,15 +222,17 @@ def _meet(group: pa.Table) -> pa.Table:
 
 # ---- step 3 -----------------------------------------------------------------------------------------------------
 
-def suffix_ranks(buf: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes at ``at`` by their first LENGTH bytes (equal: equal rank), by doubling. ``ends`` has the
-    end of the text that each byte of ``buf`` lies in; each suffix at ``at`` has LENGTH bytes before it."""
+def ranks_by_depth(buf: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
+    """Ranks of all suffixes by their first 8, 16, 32, 64 and LENGTH bytes (equal: equal rank), by doubling. ``ends``
+    has the end of the text that each byte of ``buf`` lies in; a rank means something where the text has so many bytes
+    left."""
     n = len(buf)
     word = np.zeros(n + 8, dtype=np.uint64)
     padded = np.concatenate([buf, np.zeros(16, np.uint8)])
     for i in range(8):
         word[:n] = (word[:n] << np.uint64(8)) | padded[i:n + i]
     rank, depth = np.unique(word[:n], return_inverse=True)[1].astype(np.int64), 8
+    out = {depth: rank}
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)
         ok = np.flatnonzero(np.arange(n) + depth + step <= ends)
@@ -238,7 +240,54 @@ def suffix_ranks(buf: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarra
         new = np.zeros(n, dtype=np.int64)
         new[ok] = np.unique(pair, return_inverse=True)[1]
         rank, depth = new, depth + step
-    return rank[at]
+        out[depth] = rank
+    return out
+
+
+def suffix_ranks(buf: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes at ``at`` by their first LENGTH bytes; each has LENGTH bytes before its text's end."""
+    return ranks_by_depth(buf, ends)[LENGTH][at]
+
+
+def nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """For each of the distinct numbers, where the nearest smaller one before it is, -1 if nowhere. All pointers jump
+    at once: what a pointer leaps over is larger than the number that it belongs to, and so larger than any smaller
+    number that follows the pointer."""
+    p = np.arange(len(x)) - 1
+    todo = np.flatnonzero(p >= 0)
+    while len(todo := todo[(p[todo] >= 0) & (x[p[todo]] > x[todo])]):
+        p[todo] = p[p[todo]]
+    return p
+
+
+def common_length(ranks: dict[int, np.ndarray], buf: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the common beginning of the suffixes at ``i`` and ``j``, LENGTH at most."""
+    n = np.zeros(len(i), dtype=np.int64)
+    for depth in (d for d in sorted(ranks, reverse=True) if d < LENGTH):
+        ok = np.flatnonzero(n + depth <= LENGTH)
+        n[ok[ranks[depth][i[ok] + n[ok]] == ranks[depth][j[ok] + n[ok]]]] += depth
+    on = np.arange(len(i))
+    while len(on := on[n[on] < LENGTH]):  # fewer than eight bytes are left that agree
+        on = on[buf[i[on] + n[on]] == buf[j[on] + n[on]]]
+        n[on] += 1
+    return np.where(ranks[LENGTH][i] == ranks[LENGTH][j], LENGTH, n)
+
+
+def previous_factors(ranks: dict[int, np.ndarray], buf: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each suffix at ``at``, LENGTH at most: in suffix order, the nearest suffixes before
+    and after it that start at a smaller place are the earlier texts that agree with it longest. ``places``: distinct
+    numbers by place."""
+    order = np.lexsort((places, ranks[LENGTH][at]))
+    at, place = at[order], places[order]
+    before = nearest_smaller(place)
+    after = len(place) - 1 - nearest_smaller(place[::-1])[::-1]
+    factor = np.zeros(len(at), dtype=np.int64)
+    for other, some in ((before, before >= 0), (after, after < len(at))):
+        some = np.flatnonzero(some)
+        factor[some] = np.maximum(factor[some], common_length(ranks, buf, at[some], at[other[some]]))
+    out = np.empty_like(factor)
+    out[order] = factor
+    return out
 
 
 def later_copies(ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -277,11 +326,11 @@ def _compared(r: np.ndarray, texts: bytes) -> pa.Table:
     stop = np.cumsum(sizes)
     run = np.repeat(np.arange(len(r)), r["n"])
     within = np.arange(len(run)) - np.repeat(np.cumsum(r["n"].astype(np.int64)) - r["n"], r["n"])
-    ranks = suffix_ranks(buf, np.repeat(stop, sizes), (stop - sizes)[run] + within)
+    ranks = ranks_by_depth(buf, np.repeat(stop, sizes))
     pos = r["pos"][run].astype(np.int64) + within
     places = np.empty(len(run), dtype=np.int64)
     places[np.lexsort((pos, r["tie"][run], r["doc"][run]))] = np.arange(len(run))
-    gone = later_copies(ranks, places)
+    gone = previous_factors(ranks, buf, (stop - sizes)[run] + within, places) >= LENGTH
     return _out(REMOVED, _merge(r["doc"][run][gone], r["tie"][run][gone], pos[gone]))
 
 
@@ -368,17 +417,34 @@ def removed_spans(windows: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _with_ties(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc, text, doc_id) with ``tie``: 0, or, where several rows have one id, the place of the row's text
+    among the different texts of that id. Places come from 160 bits of the texts and are whole numbers, so that two
+    texts are never taken for one. Only rows of repeated ids are hashed and joined, by hash, so that an id (null, say)
+    which very many rows have is spread."""
+    several = cut(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), "suffix-several")
+    if several.limit(1).count() == 0:
+        return rows.withColumn("tie", F.lit(0).cast("long"))
+    marked = cut(rows.join(several.withColumn("__several", F.lit(True)), "doc", "left")
+                 .withColumn("__crc", F.when(F.col("__several"), F.crc32("text"))).withColumn("__md5", F.when(F.col("__several"), F.md5("text"))), "suffix-marked")
+    texts = marked.where("__several").select("doc", "__crc", "__md5").distinct()
+    places = ranked(texts, ["doc"], ["__crc", "__md5"], "__place").select(
+        F.col("doc").alias("__doc"), F.col("__md5").alias("__same"), "__place")
+    return cut(marked.join(places, (F.col("doc") == F.col("__doc")) & (F.col("__md5") == F.col("__same")), "left")
+               .select("doc", "text", "doc_id", F.coalesce("__place", F.lit(0)).cast("long").alias("tie")), "suffix-rows")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes, end
     exclusive) and kept (the remaining bytes; null without ``keep_text``).
 
     Null text is empty and keeps nothing: n_bytes 0, the hash of no bytes. Texts under 100 bytes stay whole. A null
-    id is smaller than all others. Rows that repeat an id are ordered by the CRC-32 of their texts, and identical
-    rows are one document: each gets the same result and neither removes the other. Long texts are handled whole, in
+    id is smaller than all others. Rows that repeat an id are ordered by the CRC-32 of their texts, then by their
+    MD5, and identical rows are one document: each gets the same result and neither removes the other. Long texts are handled whole, in
     pieces that overlap by 99 bytes. Other columns are not read. An empty table gives an empty result."""
     body = F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(-1 << 63)).alias("doc"), F.crc32(body).alias("tie"), body.alias("text"),
-                       docs[doc_id].cast("long").alias("doc_id"))
+    rows = _with_ties(docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(-1 << 63)).alias("doc"), body.alias("text"),
+                                  docs[doc_id].cast("long").alias("doc_id")))
     size = total(rows, F.octet_length("text"))
     buckets = max(1, math.ceil(size / BUCKET))
     met = cut(_met(rows.select("doc", "tie", "text"), buckets), "suffix-runs")
