@@ -54,6 +54,14 @@ def total(df: DataFrame, c: Column) -> int:
     return int(df.agg(F.sum(c)).first()[0] or 0)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """``df`` with a column ``name``: the gapless rank from 0 of each row among the rows of equal ``by``, in
     ascending ``order`` (unique within ``by`` for a rank that does not depend on the run).

@@ -16,7 +16,7 @@ and the smallest document it can reach.
    size and hash into several trees, and pairs of trees of like sizes go to tasks of their own.
 5. The links found connect each component; alternating stars give its smallest document.
 
-Hashes have 64 bits; a bucket keeps 48 of them and its own number.
+Hashes have 64 bits; a bucket keeps 48 of them and, for the other 16, its own number.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.components import components
 from ..sources.io import cut
-from .base import lower_ascii, slices, table
+from .base import fresh, lower_ascii, slices, table
 
 WORDS = 5
 #: A link: NEED[0] * union <= NEED[1] * intersection.
@@ -143,7 +143,19 @@ _SET = pa.schema([("ent", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()
 
 
 def _bucket_of(toks: np.ndarray, buckets: int) -> np.ndarray:
-    return ((toks & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+    """By the low 16 bits, then the next 16: any number of buckets below 2**32."""
+    low = (toks & np.uint64(0xFFFF)) << np.uint64(16) | toks >> np.uint64(16) & np.uint64(0xFFFF)
+    return (low * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _token(kept: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Tokens of a bucket from their upper 48 bits. The other 16 follow from the bucket where there are at least as
+    many buckets as values; else its number stands for them, which is one for all tokens of equal bits."""
+    if buckets < 1 << 16:
+        return kept << np.uint64(16) | np.uint64(bucket)
+    least = -(-(bucket << 32) // buckets)  # the first number of 32 bits that falls into the bucket
+    middle = (kept & np.uint64(0xFFFF)).astype(np.int64)
+    return kept << np.uint64(16) | (-((middle - least) // (1 << 16))).astype(np.uint64)
 
 
 def _shared_sets(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -217,7 +229,7 @@ def _shared_sets(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFra
             else:
                 b = np.frombuffer(data, "<u4", 1, 1)[0]
                 e, t, d = _unpack(data[5:], True)
-                ents.append(e), toks.append((t << np.uint64(16)) | np.uint64(b)), dfs.append(d)
+                ents.append(e), toks.append(_token(t, int(b), buckets)), dfs.append(d)
         out = []
         if ents:
             ents, toks, dfs = np.concatenate(ents), np.concatenate(toks), np.concatenate(dfs)
@@ -392,7 +404,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     least key of its component."""
     first = cut(_entities(docs), "jaccard-first")
     rows = first.where("frequent is null").select("doc_id", "key", "n")
-    buckets = min(1 << 16, max(1, math.ceil((rows.agg(F.sum("n")).first()[0] or 0) / BUCKET_TOKENS)))
+    buckets = max(1, math.ceil((rows.agg(F.sum("n")).first()[0] or 0) / BUCKET_TOKENS))
     sets = cut(_shared_sets(docs, _frequent(first), buckets), "jaccard-sets")
     links = cut(_family_links(sets), "jaccard-links")
     comp = cut(components(links), "jaccard-components")
@@ -424,20 +436,21 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     with nothing and stay. Rows that agree in id and words are one document, of which one row stays."""
     rows = _labelled(_narrow(docs, "text", "doc_id"))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    own, kept_id, kept_key, nth = (fresh(docs, c) for c in ("__key", "__kept_id", "__kept_key", "__nth"))
     kept = cut(rows.where("n > 0").groupBy("component").agg(F.min(first).alias("s")).select("s.doc_id", "s.key")
                .union(rows.where("n = 0").select("doc_id", "key").distinct())
-               .select(F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key")), "jaccard-kept")
-    keyed = StructType([*docs.schema.fields, StructField("__key", LongType())])
+               .select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key)), "jaccard-kept")
+    keyed = StructType([*docs.schema.fields, StructField(own, LongType())])
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             keys = pa.array(_signed([xxhash.xxh3_64_intdigest(b" ".join(lower_ascii(t).split())) for t in texts]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, own])
 
     joined = docs.mapInArrow(with_key, keyed).join(
-        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__key") == F.col("__kept_key")))
-    one = Window.partitionBy("__kept_id", "__kept_key").orderBy("text")
-    return joined.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").select(*[F.col(c) for c in docs.columns])
+        kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_key)))
+    one = Window.partitionBy(kept_id, kept_key).orderBy("text")
+    return joined.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*[F.col(c) for c in docs.columns])
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

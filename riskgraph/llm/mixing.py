@@ -7,11 +7,11 @@ fraction, so reruns, retries and lost executors give the same copies.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.io import cut
-from .base import WORD, table
+from .base import WORD, fresh, ranked, table
 
 MAX_RATE = 3
 SEED = "mix"
@@ -33,10 +33,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     shared among the rest by weight until none is above.
 
     Each round is one aggregate over the small table of sources, which gives two whole numbers."""
-    # one row per source: the only global order of this module, over the list of sources and not over documents
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ws = cut(sizes.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1)
-             .select("source", "source_size", F.col("weight").cast("long").alias("weight")), "mix-sources")
+    placed = ranked(sizes.withColumn("__last", F.col("source").isNull()), [], ["__last", "source"], "__place")
+    ws = cut(placed.select("source", "source_size", (F.col("__place") % 3 + 1).cast("long").alias("weight")), "mix-sources")
     total, weights = ws.agg(F.sum("source_size"), F.sum("weight")).first()
     rest, share = total or 0, weights or 1
     while True:
@@ -80,11 +78,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as :func:`mix` takes it, with the columns of ``docs``."""
-    t = rates(docs).select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"),
-                           F.col("target").alias("__mix_target"))
-    n = _copies(docs["doc_id"], F.lit(0), F.col("__mix_size"), F.col("__mix_target"))
-    return (docs.join(t, docs["source"].cast("string").eqNullSafe(F.col("__mix_source")))
-            .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
+    source, size, target, copy = (fresh(docs, c) for c in ("__mix_source", "__mix_size", "__mix_target", "__mix_copy"))
+    t = rates(docs).select(F.col("source").alias(source), F.col("source_size").alias(size), F.col("target").alias(target))
+    n = _copies(docs["doc_id"], F.lit(0), F.col(size), F.col(target))
+    return (docs.join(t, docs["source"].cast("string").eqNullSafe(F.col(source)))
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
             .select(*[docs[c] for c in docs.columns]))
 
 

@@ -241,7 +241,9 @@ def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
         if f is not None:
             f.close()
 
-    return frames.repartition("file").sortWithinPartitions("file", "frame").mapInArrow(run, RECORD_DDL)
+    # as many tasks as bundles: left to itself, Spark would merge them by the size of the index
+    bundles = max(1, index.select("file").distinct().count())
+    return frames.repartition(bundles, "file").sortWithinPartitions("file", "frame").mapInArrow(run, RECORD_DDL)
 
 
 def lookup(index: DataFrame, record_ids: list[str]) -> DataFrame:

@@ -112,3 +112,24 @@ def test_tree_links_equal_all_pairs():
 
     want = [(i, j) for i in rows for j in rows if i < j and 100 * len(rows[i] & rows[j]) >= 75 * len(rows[i] | rows[j])]
     assert classes(jaccard.tree_links(s, s)) == classes(want)
+
+
+def test_clashing_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, 5, 6, 7, 8), (2, text, 5, 6, 7, 8), (3, "a", 5, 6, 7, 8)], "doc_id long, text string, __key long, __NTH long, __kept_id long, __kept_key_ long")
+    got = jaccard.one_per_group(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_tokens_of_any_number_of_buckets():
+    """Tokens come back from a bucket, or at least stay apart with fewer buckets than their low bits have values."""
+    rng = np.random.default_rng(1)
+    toks = np.unique(np.concatenate([np.array([5 << 32 | 77 << 16 | x for x in range(1 << 16)], dtype=np.uint64), rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)]))
+    for buckets in (1, 7, 1 << 16, 100_003, 1 << 17, 3_000_000):
+        b = jaccard._bucket_of(toks, buckets)
+        assert b.min() >= 0 and b.max() < buckets
+        back = np.concatenate([jaccard._token(toks[i:i + 1] >> np.uint64(16), int(b[i]), buckets) for i in rng.integers(0, len(toks), 3000)])
+        if buckets >= 1 << 16:
+            assert np.isin(back, toks).all()
+    b = jaccard._bucket_of(toks, 100_003)
+    assert all(jaccard._token(toks[i:i + 1] >> np.uint64(16), int(b[i]), 100_003)[0] == toks[i] for i in range(0, len(toks), 17))

@@ -77,3 +77,9 @@ def test_cap_is_met(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, size long, target long")
     assert mixing.mix(df).collect() == [] == mixing.mix_rows(df).collect()
+
+
+def test_clashing_column_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 1, 2, 3, 4) for i in range(5)], "doc_id long, text string, source string, __mix_source int, __mix_size int, __mix_target int, __mix_copy int")
+    got = mixing.mix_rows(df)
+    assert got.columns == df.columns and got.count() == 5

@@ -79,3 +79,14 @@ def test_empty_and_clashing_columns(spark):
     read = lambda d: warc.read_archives(spark, warc.write_archives(d, scratch_path(spark, "warc-test"))).collect()
     assert read(df.limit(0)) == []
     assert [(r.page_id, r.record_type) for r in read(df)] == [(1, "response")]
+
+
+def test_bundles_are_read_by_as_many_tasks(spark, monkeypatch, tmp_path):
+    from riskgraph.llm import warc
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 20)
+    long = "0123456789" * (warc.FRAME_BYTES // 10)  # a frame and a bundle of its own for each page
+    pages = spark.createDataFrame([(i, f"u{i}", long + str(i)) for i in range(24)], "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(pages, str(tmp_path / "w"))
+    n = index.select("file").distinct().count()
+    back = warc.read_archives(spark, index)
+    assert n > 8 and back.rdd.getNumPartitions() == n and back.count() == 24
