@@ -6,8 +6,7 @@ Finds the documents that hold a benchmark item, word for word or paraphrased wit
    bytes a word); document frequencies come from all documents, and a word weighs log(N / df), ``FLOOR`` at least: no
    word is cut off, so that an item that a third of the documents hold is found as well.
 2. A randomised singular value decomposition of TF-IDF passages: the pieces of the items, which count as much as all
-   other passages together, and the passages of a sample of about ``SAMPLE`` documents. The sample only shapes the
-   space; every document is searched. Each round multiplies by A'A in the tasks that hold the passages, and the
+   other passages together, and the passages of all documents. Each round multiplies by A'A in the tasks that hold the passages, and the
    driver orthonormalises a matrix of ``VOCABULARY`` x ``RANK`` numbers; where the items of a block have more words
    than that, it has a row for each of them, at most one per hash (``IDS``).
 3. All passages of all documents (two blocks of ``BLOCK`` words, each block in two passages) are projected and meet
@@ -38,7 +37,9 @@ from .base import lower_ascii, slices, table
 IDS = 1 << 16
 FLOOR = 0.01
 BLOCK, RANK, ROUNDS = 24, 256, 2
-VOCABULARY, SAMPLE, ITEMS = 16_384, 3000, 2048
+VOCABULARY, ITEMS = 16_384, 2048
+#: Documents whose passages a task multiplies at a time when the space is made, from all documents.
+SAMPLE = 3000
 #: Share of a piece's length in the space that a passage has in the piece's direction.
 THRESHOLD = 0.35
 LCS, ANSWER, ANSWER_WORDS = 0.7, 0.6, 5
@@ -343,23 +344,21 @@ def fit(ids: DataFrame, n: int, df: np.ndarray, items: list[tuple[int, np.ndarra
     at[chosen] = np.arange(len(chosen))
     pad = -len(chosen) % 16 + (16 if not len(chosen) else 0)
     spark = ids.sparkSession
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = cut(ids.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).repartition(4), "leak-sample")
-    words = sample.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    words = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     boost = max(1.0, words / 2 / (2 * BLOCK) / max(1, len(parts)))
     q = np.random.Generator(np.random.PCG64(8)).standard_normal((len(chosen) + pad, RANK)).astype(np.float32)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((weight, at, q))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, size=SAMPLE) -> Iterator[pa.RecordBatch]:
             weight, at, q = shared.value
             g = np.zeros_like(q)
-            for batch in batches:
+            for batch in (b.slice(lo, size) for b in batches for lo in range(0, b.num_rows, size)):
                 flat = [np.frombuffer(d, np.uint16) for d in batch.column(0).to_pylist()]
                 g += _gram_times(*_unit_rows([x[a:a + 2 * BLOCK] for x in flat for a in range(0, len(x), 2 * BLOCK)], weight, at), q)
             yield _in_parts(g)
 
-        g = _summed(sample.select("ids").mapInArrow(run, "part int, data binary"), np.float32)
+        g = _summed(ids.select("ids").mapInArrow(run, "part int, data binary"), np.float32)
         g = g.reshape(q.shape).copy() if len(g) else np.zeros_like(q)
         g += np.float32(boost) * _gram_times(*_unit_rows(parts, weight, at), q)
         q = np.linalg.qr(g)[0].astype(np.float32)

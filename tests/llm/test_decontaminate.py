@@ -168,3 +168,23 @@ def test_paraphrases_in_a_table_of_many_samples(spark, made, monkeypatch):
     got = {(r.doc_id, r.item_id) for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
                                                   spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
+def test_the_space_comes_from_all_documents(spark, monkeypatch):
+    """The matrix that the first round sums is that of every passage of every document, in whatever steps."""
+    monkeypatch.setattr(d, "SAMPLE", 7)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(1, 130))) for _ in range(90)]
+    items = [(1, *(f(d.hashed([texts[0].encode()])[0][:20]) for f in (d.short, np.copy)))]
+    ids = d.word_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    n, df = d.document_frequencies(ids)
+    monkeypatch.setattr(d, "ROUNDS", 1)
+    space = d.fit(ids, n, df, items)
+    short = [d.short(h) for h in d.hashed([t.encode() for t in texts])]
+    passages = [x[a:a + 2 * d.BLOCK] for x in short for a in range(0, len(x), 2 * d.BLOCK)]
+    q = np.random.Generator(np.random.PCG64(8)).standard_normal((len(space.rows), d.RANK)).astype(np.float32)
+    boost = max(1.0, sum(len(x) for x in short) / (2 * d.BLOCK))
+    g = d._gram_times(*d._unit_rows(passages, space.weight, space.at), q)
+    g += np.float32(boost) * d._gram_times(*d._unit_rows(d.pieces(items[0][1]), space.weight, space.at), q)
+    have = g - space.rows @ (space.rows.T @ g)  # nothing of it lies outside the space
+    assert np.abs(have).max() < 1e-3 * np.abs(g).max()
