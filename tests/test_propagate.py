@@ -233,3 +233,33 @@ def test_describe_rounds(spark):
     for k, r in got.items():
         want = pd.Series(list(scores(res, k).values())).describe()
         assert [r["count"], r["mean"], r["std"], r["min"], r.q25, r.q50, r.q75, r["max"]] == pytest.approx(list(want))
+
+
+def test_edges_by_receiver_give_the_same_with_a_row_per_receiver(spark, monkeypatch):
+    """Receivers of many edges: a round sends a receiver from one place, two if heavy, not from every bucket of issuers."""
+    rows = [(i, r, 0.05 + (i * r % 9) / 10) for i in range(30) for r in range(100, 120) if (i + r) % 3] + [(110, 3, 0.4), (None, 100, 0.5)]
+    e, sd = edges_df(spark, rows), seeds_df(spark, [2, 3, 110])
+    for kw in ({}, {"min_hot_degree": 13, "max_hot_keys": 1000}):
+        by_receiver = P.propagate(e, sd, rounds=4, **kw)
+        graph = by_receiver.graph
+        with monkeypatch.context() as m:
+            m.setattr(P, "MAX_ISSUERS", 29)
+            by_issuer = P.propagate(e, sd, rounds=4, **kw)
+        assert graph.incoming is not None and by_issuer.graph.incoming is None and (graph.hot is None) == (not kw)
+        places = graph.incoming.selectExpr("receptor", "input_file_name() as f").distinct().count()
+        receivers = graph.incoming.select("receptor").distinct().count()
+        assert places == receivers if not kw else places <= P.HEAVY_FILES * receivers
+        for k in range(5):
+            a, b = scores(by_receiver, k), scores(by_issuer, k)
+            assert a.keys() == b.keys() and all(a[n] == pytest.approx(b[n], abs=1e-12) for n in a)
+
+
+def test_layout_by_receiver_is_read_from_the_journal(spark, monkeypatch):
+    from riskgraph.operators.journal import Journal
+    from riskgraph.session import scratch_path
+    e, sd = edges_df(spark, [(i, r, 0.3) for i in range(8) for r in (20, 21)] + [(20, 1, 0.4)]), seeds_df(spark, [2])
+    monkeypatch.setattr(P, "MIN_IN_DEGREE", 2)
+    journal = Journal(spark, scratch_path(spark, "journal-by-receiver"), "a")
+    P.propagate(e, sd, rounds=2, journal=journal)
+    res, whole = P.propagate(e, sd, rounds=4, journal=journal), P.propagate(e, sd, rounds=4)
+    assert res.graph.incoming is not None and scores(res, 4) == pytest.approx(scores(whole, 4), abs=1e-12)
