@@ -40,6 +40,8 @@ BLOCK, RANK, ROUNDS = 24, 256, 2
 VOCABULARY, ITEMS = 16_384, 2048
 #: Documents whose passages a task multiplies at a time when the space is made, from all documents.
 SAMPLE = 3000
+#: Passages that are multiplied at once, and how many of their most frequent words go through matrix products.
+PASSAGES, DENSE = 512, 1024
 #: Share of a piece's length in the space that a passage has in the piece's direction.
 THRESHOLD = 0.35
 LCS, ANSWER, ANSWER_WORDS = 0.7, 0.6, 5
@@ -109,13 +111,11 @@ def document_frequencies(ids: DataFrame) -> tuple[int, np.ndarray]:
         df = np.zeros(IDS + 16, dtype=np.int64)  # 16 more, the first of which counts documents
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                seen = np.zeros(IDS, dtype=bool)
-                seen[np.frombuffer(data, np.uint16)] = True
-                df[np.flatnonzero(seen)] += 1
+                df[np.unique(np.frombuffer(data, np.uint16))] += 1
                 df[IDS] += 1
         yield _in_parts(df)
 
-    df = _summed(ids.select("ids").mapInArrow(run, "part int, data binary"), np.int64)
+    df = _summed(ids.select("ids").coalesce(ids.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "part int, data binary"), np.int64)
     return (int(df[IDS]), df[:IDS]) if len(df) else (0, np.zeros(IDS, dtype=np.int64))
 
 
@@ -145,20 +145,58 @@ def _unit_rows(passages: list[np.ndarray], weight: np.ndarray, at: np.ndarray) -
     return at[flat], of, (w / np.maximum(norm[of], 1e-9)).astype(np.float32)
 
 
+def _add_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+    """out[to] += w * rows[at], also where ``to`` repeats: all first ones at once, then all second ones, and so on."""
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(first, len(to)))
+    nth = np.arange(len(to)) - np.repeat(first, sizes)
+    again = np.argsort(nth, kind="stable")
+    lo = 0
+    for n in np.bincount(nth):
+        some = again[lo:lo + n]
+        x = rows.take(at[order[some]], axis=0)
+        x *= w[order[some], None]
+        out[to[some]] += x
+        lo += n
+
+
+def _frequent_apart(word: np.ndarray, of: np.ndarray, w: np.ndarray, n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The DENSE most frequent words of ``n`` passages, a matrix of their weights, and where the other words stand."""
+    count = np.bincount(word, minlength=words)
+    top = np.argpartition(-count, DENSE)[:DENSE] if words > DENSE else np.arange(words)
+    top = top[count[top] > 0]
+    place = np.full(words, -1, dtype=np.int64)
+    place[top] = np.arange(len(top))
+    column = place[word]
+    dense = column >= 0
+    matrix = np.bincount(of[dense] * len(top) + column[dense], w[dense], n * len(top)).astype(np.float32).reshape(n, len(top))
+    return top, matrix, np.flatnonzero(~dense)
+
+
+def _times(word: np.ndarray, of: np.ndarray, w: np.ndarray, n: int, q: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+    """A q for ``n`` sparse rows; with ``back``, A'A q is added to it. Few words are most of a text: they go through
+    matrix products, the others row by row."""
+    top, matrix, rest = _frequent_apart(word, of, w, n, len(q))
+    word, of, w = word[rest], of[rest], w[rest]
+    p = matrix @ q[top]
+    _add_rows(p, of, q, word, w)
+    if back is not None:
+        back[top] += matrix.T @ p
+        _add_rows(back, word, p, of, w)
+    return p
+
+
 def _gram_times(word: np.ndarray, of: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'A q for sparse rows, some thousand words at a time."""
+    """A'A q for sparse rows, some passages at a time."""
     out = np.zeros_like(q)
     starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
-    for lo in range(0, len(starts), 1024):
-        a = starts[lo]
-        b = starts[lo + 1024] if lo + 1024 < len(starts) else len(of)
-        local = starts[lo:lo + 1024] - a
-        p = np.add.reduceat(q[word[a:b]] * w[a:b, None], local, axis=0)
-        back = p[np.repeat(np.arange(len(local)), np.diff(np.append(local, b - a)))] * w[a:b, None]
-        order = np.argsort(word[a:b], kind="stable")
-        sorted_ = word[a:b][order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        out[sorted_[first]] += np.add.reduceat(back[order], first, axis=0)
+    for lo in range(0, len(starts), PASSAGES):
+        a, some = starts[lo], starts[lo:lo + PASSAGES]
+        b = starts[lo + PASSAGES] if lo + PASSAGES < len(starts) else len(of)
+        local = np.repeat(np.arange(len(some)), np.diff(np.append(some, b)))
+        _times(word[a:b], local, w[a:b], len(some), q, out)
     return out
 
 
@@ -250,6 +288,17 @@ class Space:
         ids = ids[self.at[ids] >= 0]
         return (self.rows[self.at[ids]] * self.weight[ids][:, None]).sum(axis=0)
 
+    def project_all(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """:meth:`project` of the words from each start to before its end, some at a time."""
+        out = np.empty((len(starts), self.rows.shape[1]), dtype=np.float32)
+        for lo in range(0, len(starts), PASSAGES):
+            a, sizes = starts[lo:lo + PASSAGES], (ends - starts)[lo:lo + PASSAGES]
+            of = np.repeat(np.arange(len(a)), sizes)
+            ids = flat[np.arange(len(of)) + (a - (np.cumsum(sizes) - sizes))[of]]
+            known = self.at[ids] >= 0
+            out[lo:lo + PASSAGES] = _times(self.at[ids[known]], of[known], self.weight[ids[known]], len(a), self.rows)
+        return out
+
     def check(self, k: int, words: list[int], exact: bool = False) -> tuple[int, float] | None:
         """(common subsequence, share of answer words) of item k and ``words`` if both suffice; ``exact``: words are 64
         bits each, not 16."""
@@ -298,7 +347,7 @@ class Space:
         strong = np.flatnonzero((reach[passage] + np.where(joined, reach[nxt], 0)) * 1.0001 >= 1)
         ends = np.append(first[1:], len(flat))
         used = np.unique(np.concatenate([passage[strong], nxt[strong][joined[strong]]]))
-        latent = np.stack([self.project(flat[first[i]:ends[i]]) for i in used]) if len(used) else np.empty((0, self.rows.shape[1]), np.float32)
+        latent = self.project_all(flat, first[used], ends[used])
         place = np.searchsorted(used, passage[strong])
         x = latent[place]
         x[joined[strong]] += latent[np.searchsorted(used, nxt[strong][joined[strong]])]
@@ -358,7 +407,8 @@ def fit(ids: DataFrame, n: int, df: np.ndarray, items: list[tuple[int, np.ndarra
                 g += _gram_times(*_unit_rows([x[a:a + 2 * BLOCK] for x in flat for a in range(0, len(x), 2 * BLOCK)], weight, at), q)
             yield _in_parts(g)
 
-        g = _summed(ids.select("ids").mapInArrow(run, "part int, data binary"), np.float32)
+        # a task sends a whole matrix, whatever it read: one task per core, not one per file
+        g = _summed(ids.select("ids").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "part int, data binary"), np.float32)
         g = g.reshape(q.shape).copy() if len(g) else np.zeros_like(q)
         g += np.float32(boost) * _gram_times(*_unit_rows(parts, weight, at), q)
         q = np.linalg.qr(g)[0].astype(np.float32)

@@ -188,3 +188,23 @@ def test_the_space_comes_from_all_documents(spark, monkeypatch):
     g += np.float32(boost) * d._gram_times(*d._unit_rows(d.pieces(items[0][1]), space.weight, space.at), q)
     have = g - space.rows @ (space.rows.T @ g)  # nothing of it lies outside the space
     assert np.abs(have).max() < 1e-3 * np.abs(g).max()
+
+
+@pytest.mark.parametrize("passages, dense", [(512, 1024), (7, 5), (3, 40)])
+def test_products_in_steps_are_those_of_the_whole_matrix(monkeypatch, passages, dense):
+    """Frequent words by matrix products, the others row by row: words that repeat in a passage and in many of them."""
+    monkeypatch.setattr(d, "PASSAGES", passages)
+    monkeypatch.setattr(d, "DENSE", dense)
+    rng = np.random.default_rng(11)
+    texts = [(rng.zipf(1.3, rng.integers(0, 60)) % 97).astype(np.uint16) for _ in range(50)]
+    weight, at = rng.random(d.IDS).astype(np.float32), np.full(d.IDS, -1, dtype=np.int32)
+    at[:90] = rng.permutation(90)  # some words are not in the space
+    word, of, w = d._unit_rows(texts, weight, at)
+    a = np.zeros((len(texts), 90))
+    np.add.at(a, (of, word), w)
+    q = rng.standard_normal((90, 8)).astype(np.float32)
+    assert d._gram_times(word, of, w, q) == pytest.approx(a.T @ (a @ q), abs=1e-4)
+    space = d.Space(weight, at, q, [])
+    sizes = [len(t) for t in texts]
+    got = space.project_all(np.concatenate(texts), np.cumsum(sizes) - sizes, np.cumsum(sizes))
+    assert got == pytest.approx(np.array([space.project(t) for t in texts]), abs=1e-4)
