@@ -17,7 +17,8 @@ Scores are whole numbers here, or in any case double precision, added from the l
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -45,6 +46,24 @@ def load_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
     return [(p.piece, float(p.score)) for p in model.pieces]
 
 
+#: Two counts in one number: tokens, and from this bit on the characters that are no piece.
+SHIFT = 40
+
+
+class Known(dict):
+    """What is known of each word; a word that is not there is worked out."""
+
+    def __init__(self, work: Callable[[str], int]) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = self[word] = self.work(word)
+        return got
+
+
 class Counter:
     """Counts the tokens of texts; keeps what it found for each word. With ``split``, text is split before each space,
     so that no piece has a mark but at its start."""
@@ -57,28 +76,34 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
-        self.words: dict[str, tuple[int, int]] = {}
+        self.words = Known(lambda w: self.packed(MARK + w.replace(" ", MARK)))
+
+    def packed(self, word: str) -> int:
+        """Tokens and characters that are no piece, in one number, of one word with its mark."""
+        unknown, last = self.unknown, len(word)
+        best, count = [0.0], [0]
+        at, top, size, found, alone = 0, 0.0, 0, 0, False  # of the pieces that end at ``at``: the best so far; is one a character
+        for end, (n, score) in chain(self.automaton.iter(word), [(last, (0, 0.0))]):
+            while at < end:
+                if not alone:
+                    score_unknown = best[at] + unknown
+                    if not size or score_unknown > top:
+                        top, found = score_unknown, count[at] + len(word[at].encode("utf-8")) + (1 << SHIFT)
+                best.append(top)
+                count.append(found)
+                at, size, alone = at + 1, 0, False
+            if n:
+                score += best[end + 1 - n]
+                if not size or score > top or (score == top and n > size):  # of equal scores the leftmost start
+                    top, size, found = score, n, count[end + 1 - n] + 1
+                if n == 1:
+                    alone = True
+        return count[-1]
 
     def word(self, word: str) -> tuple[int, int]:
         """(tokens, characters that are no piece) of one word with its mark."""
-        ends: list[list[tuple[int, float]]] = [[] for _ in word]
-        for end, piece in self.automaton.iter(word):
-            ends[end].append(piece)
-        best, count, fallback = [0.0], [0], [0]
-        for i, pieces in enumerate(ends):
-            top = None
-            for n, score in sorted(pieces, reverse=True):  # the leftmost start first
-                score += best[i + 1 - n]
-                if top is None or score > top[0]:
-                    top = (score, count[i + 1 - n] + 1, fallback[i + 1 - n])
-            if not any(n == 1 for n, _ in pieces):
-                score = best[i] + self.unknown
-                if top is None or score > top[0]:
-                    top = (score, count[i] + len(word[i].encode("utf-8")), fallback[i] + 1)
-            best.append(top[0])
-            count.append(top[1])
-            fallback.append(top[2])
-        return count[-1], fallback[-1]
+        fallback, tokens = divmod(self.packed(word), 1 << SHIFT)
+        return tokens, fallback
 
     def text(self, text: str) -> tuple[int, int, int]:
         """(words, tokens, characters that are no piece)."""
@@ -91,16 +116,7 @@ class Counter:
         if not self.split and self.crossed:
             return n_words, *self.word(spaced.replace(" ", MARK))
         words = spaced[1:].split(" ") if self.split or "  " not in spaced else re.findall(" ( *[^ ]*)", spaced)
-        tokens = fallback = 0
-        known = self.words
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                got = known[w] = self.word(MARK + w.replace(" ", MARK))
-            tokens += got[0]
-            fallback += got[1]
+        fallback, tokens = divmod(sum(map(self.words.__getitem__, words)), 1 << SHIFT)
         return n_words, tokens, fallback
 
 

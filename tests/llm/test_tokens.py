@@ -89,3 +89,38 @@ def test_pieces_across_words_without_split():
         for _ in range(20):
             text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 14)))
             assert own.text(text)[1] == len(lib.encode(text, add_special_tokens=False).ids), (text, vocab[257:])
+
+
+def test_one_pass_over_matches_equals_trying_all_pieces():
+    """Ties, characters that are no piece and pieces of several marks: against every piece tried at every place. A word is
+    worked out once, and its two counts are kept as one number."""
+    import random
+
+    from riskgraph.llm.tokens import MARK, SHIFT, UNKNOWN_PENALTY, Counter
+
+    def plain(word, voc, unknown):
+        best = [(0.0, 0, 0)]
+        for end in range(1, len(word) + 1):
+            top = None
+            for start in range(end):
+                if (score := voc.get(word[start:end])) is not None:
+                    s, n, f = best[start]
+                    if top is None or s + score > top[0]:
+                        top = (s + score, n + 1, f)
+            if word[end - 1] not in voc:
+                s, n, f = best[end - 1]
+                if top is None or s + unknown > top[0]:
+                    top = (s + unknown, n + len(word[end - 1].encode()), f + 1)
+            best.append(top)
+        return best[-1][1:]
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        voc = {"".join(rnd.choice("ab" + MARK + "é") for _ in range(rnd.randint(1, 4))): -float(rnd.randint(0, 4)) for _ in range(rnd.randint(1, 10))}
+        counter, unknown = Counter(list(voc.items())), min(voc.values()) - UNKNOWN_PENALTY
+        words = [MARK + "".join(rnd.choice("abéc") for _ in range(rnd.randint(1, 9))) for _ in range(8)]
+        want = [plain(w, voc, unknown) for w in words]
+        assert [counter.word(w) for w in words] == want
+        text = " ".join(w[1:] for w in words + words)
+        assert counter.text(text)[1:] == tuple(2 * sum(x) for x in zip(*want, strict=True))
+        assert dict(counter.words) == {w[1:]: n + (f << SHIFT) for w, (n, f) in zip(words, want, strict=True)}
