@@ -193,3 +193,56 @@ def test_pieces_are_named_by_their_smallest_node(spark):
     memb = spark.createDataFrame([(g, n, 9) for g in (0.5, 1.0) for n in range(1, 6)], "gamma double, node long, c long")
     got = {(r.gamma, r.node): r.c for r in connected_parts(und, memb, 5).collect()}
     assert got == {(g, n): c for g in (0.5, 1.0) for n, c in {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}.items()}
+
+
+def _random_graph(spark, n=240, degree=8):
+    rows = {(min(i, j), max(i, j)) for i in range(1, n + 1) for j in [(i * i * 7 + k * k * 131 + i * k * 17) % n + 1 for k in range(degree)]}
+    return spark.createDataFrame([(u, v, 1.0 + (u * 31 + v * 17) % 5) for u, v in sorted(rows)], "u long, v long, w double")
+
+
+def test_few_sweeps(spark, monkeypatch):
+    """Nodes of a block see each other's moves, so that a level of a small graph takes a sweep or two and not dozens."""
+    from riskgraph.operators import louvain
+    sweeps, decisions = [], louvain._decisions
+    monkeypatch.setattr(louvain, "_decisions", lambda *a: (sweeps.append(a[-1]), decisions(*a))[1])
+    und = _random_graph(spark)
+    study = C.partitions(und, [1.0])
+    assert len(sweeps) <= 16
+    r = C.certificate(und, study).first()
+    assert r.once and r.gapless and r.connected and r.stable and r.q_stated and r.n_communities > 1
+
+
+def test_many_blocks_and_nodes_of_no_block(spark, monkeypatch):
+    """Blocks of about 300 links, and nodes of more links than that: what is certified holds all the same."""
+    from riskgraph.operators import louvain
+    monkeypatch.setattr(louvain, "BLOCK_ROWS", 300)
+    hub = spark.range(1, 241).select(F.lit(500).cast("long").alias("u"), F.col("id").alias("v"), F.lit(0.5).alias("w"))
+    far = spark.range(600, 990).select(F.lit(599).cast("long").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("w"))
+    und = _random_graph(spark, degree=5).unionByName(hub).unionByName(far)
+    study = C.partitions(und, [0.5, 1.0])
+    for r in C.certificate(und, study).collect():
+        assert r.once and r.gapless and r.connected and r.stable and r.q_stated
+
+
+def test_walk_of_a_block():
+    """Two triangles and a bridge: the nodes of a block see each other's moves, and of the others what the sweep began with."""
+    import numpy as np
+    from riskgraph.operators.louvain import _walk
+    both = [(a, b) for x, y, _ in TWO_TRIANGLES for a, b in ((x, y), (y, x))]
+    src, dst = (np.array(x) for x in zip(*both, strict=True))
+    deg = np.bincount(src).astype(float)
+    total = {i: deg[i] for i in range(1, 7)}
+    now = {i: i for i in range(1, 7)} | _walk(1.0, src, dst, dst, np.ones(14), src, deg[src], dict(total), 7.0, 1e-7)
+    assert len({now[i] for i in (1, 2, 3)}) == 1 and len({now[i] for i in (4, 5, 6)}) == 1 and now[1] != now[4]
+    keep = src <= 2  # a block of 1 and 2: 3 stays, its community does not
+    moves = _walk(1.0, src[keep], dst[keep], np.where(dst[keep] <= 2, dst[keep], 0), np.ones(keep.sum()), src[keep], deg[src[keep]], dict(total), 7.0, 1e-7)
+    assert set(moves) <= {1, 2} and len({({1: 1, 2: 2} | moves)[i] for i in (1, 2)}) == 1
+
+
+def test_modularities_of_a_constant_resolution_join_by_key(spark):
+    from riskgraph.operators.louvain import modularities
+    und = C.to_undirected(edges_df(spark, TWO_TRIANGLES))
+    memb = spark.range(1, 7).select(F.lit(1.0).alias("gamma"), F.col("id").alias("node"), F.floor((F.col("id") - 1) / 3).alias("c"))
+    q = modularities(und, memb, 7.0)
+    assert "NestedLoopJoin" not in q._jdf.queryExecution().executedPlan().toString()
+    assert q.first().q_1 == pytest.approx(0.357142857, abs=1e-9)
